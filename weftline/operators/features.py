@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .ordering import with_offsets
 from .vocabulary import fits_broadcast
@@ -134,7 +135,7 @@ def encode_features(
     """
     predict = predict_batch_udf(
         make_predict_fn,
-        return_type="array<float>",
+        return_type=ArrayType(FloatType()),
         batch_size=batch_size,
         input_tensor_shapes=[[size]],
     )

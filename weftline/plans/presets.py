@@ -26,6 +26,7 @@ class Preset:
 _IMAGE = (("image", IMAGE_SLOTS),)
 _AUDIO = (("image", IMAGE_SLOTS), ("audio", 1))
 _VIDEO = (("image", IMAGE_SLOTS), ("audio", 1), ("video", 1))
+_ANY = (*_VIDEO, ("any", 1))
 
 # Length caps, markers, mask prefix and cut of each preset.
 PRESETS = {
@@ -38,7 +39,7 @@ PRESETS = {
     "video": Preset(1984, ("image", "audio", "video"), 64, 6, _VIDEO),
     "video_optional": Preset(1984, ("image", "audio", "video"), 0, 6, _VIDEO, optional=True),
     "video_bind": Preset(1984, ("image", "audio", "video"), 64, 6, _VIDEO),
-    "any": Preset(1984, ("image", "audio", "video", "any"), 64, 6, _VIDEO),
-    "any_liked": Preset(1984, ("image", "audio", "video", "any"), 64, 6, _VIDEO),
-    "any_cached": Preset(1984, ("image", "audio", "video", "any"), 64, 6, _VIDEO),
+    "any": Preset(1984, ("image", "audio", "video", "any"), 64, 6, _ANY),
+    "any_liked": Preset(1984, ("image", "audio", "video", "any"), 64, 6, _ANY),
+    "any_cached": Preset(1984, ("image", "audio", "video", "any"), 64, 6, _ANY),
 }

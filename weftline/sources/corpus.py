@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.ordering import with_ordinal
 
+# A head of this size fits one task.
+HEAD_ROWS = 10_000
+
 
 def read_corpus(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """A parquet corpus; only the named columns are read."""
@@ -26,7 +29,8 @@ def split_slice(
 ) -> DataFrame:
     """Rows ``[start:stop]`` in the given order; ``unit`` is ``rows`` or ``percent``.
 
-    Percent bounds are rounded to the nearest row.
+    Percent bounds are rounded to the nearest row. A short head is a top-n query;
+    any other slice uses the distributed ordinal.
     """
     if unit not in ("rows", "percent"):
         raise ValueError(f"unknown unit {unit!r}")
@@ -38,6 +42,8 @@ def split_slice(
 
         start = None if start is None else at(start)
         stop = None if stop is None else at(stop)
+    if not start and stop is not None and stop <= HEAD_ROWS:
+        return df.orderBy(*order).limit(int(stop))
     keep = F.lit(True)
     if start:
         keep = keep & (F.col("_slice") >= int(start))
@@ -46,11 +52,6 @@ def split_slice(
     return with_ordinal(df, order, "_slice").where(keep).drop("_slice")
 
 
-def head_slice(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows; for an ``n`` that one task can hold (a top-n query)."""
-    return df.orderBy(*order).limit(n)
-
-
 def union_shards(shards: Sequence[DataFrame]) -> DataFrame:
     """All rows of all shards, duplicates kept; the schemas must agree."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=False), shards)
