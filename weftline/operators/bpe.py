@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -121,12 +123,13 @@ def encode_bpe(df: DataFrame, words_col: str, merges: DataFrame, out: str = "sym
             return parts
 
         coded = column.flatten().dictionary_encode()
-        known = [split(w) for w in coded.dictionary.to_pylist()]
-        at = iter(coded.indices.to_pylist())
-        rows = [
-            None if n is None else [s for _ in range(n) for s in known[next(at)]]
-            for n in (None if v is None else len(v) for v in column)
-        ]
-        return pa.array(rows, pa.list_(pa.string()))
+        known = pa.array([split(w) for w in coded.dictionary.to_pylist()], pa.list_(pa.string()))
+        symbols = known.take(coded.indices)
+        # Symbols before each word, then before each row.
+        by_word = np.concatenate([[0], np.cumsum(pc.list_value_length(symbols))]).astype(np.int32)
+        n_words = pc.fill_null(pc.list_value_length(column), 0)
+        by_row = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)
+        missing = pa.array(np.asarray(column.is_null()))
+        return pa.ListArray.from_arrays(pa.array(by_word[by_row]), symbols.flatten(), mask=missing)
 
     return df.withColumn(out, apply_merges(F.col(words_col)))

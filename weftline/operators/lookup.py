@@ -10,14 +10,23 @@ HEAD_ROWS = 50_000
 HEAD_KEY_BYTES = 256
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, head_rows: int = HEAD_ROWS) -> DataFrame:
+def lookup(
+    rows: DataFrame,
+    table: DataFrame,
+    key: str,
+    weight: str,
+    head_rows: int = HEAD_ROWS,
+    staged: bool = False,
+) -> DataFrame:
     """Left join of ``rows`` to ``table`` (unique ``key``), safe against hot keys.
 
     The heaviest keys of ``table`` are broadcast: at most ``head_rows`` keys of at
     most ``HEAD_KEY_BYTES`` bytes. Rows of all other keys take a shuffled join, and
-    none of those keys is frequent.
+    none of those keys is frequent. ``staged`` says that ``table`` is already a
+    written table, cheap to read again.
     """
-    table = cut_lineage(table, "lookup")
+    if not staged:
+        table = cut_lineage(table, "lookup")
     heavy = table.where(F.octet_length(F.col(key).cast("string")) <= HEAD_KEY_BYTES)
     head = F.broadcast(heavy.orderBy(F.desc(weight), key).limit(head_rows))
     if table.count() <= head_rows and table.where(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -47,9 +48,8 @@ def build_vocab(counts: DataFrame, max_size: int | None = None, min_count: int =
 
 def encode_tokens(tokens: DataFrame, vocab: DataFrame, unk: int = UNK) -> DataFrame:
     """Add ``id`` to token rows; any vocabulary size."""
-    return lookup(tokens, vocab, "token", "count").withColumn(
-        "id", F.coalesce("id", F.lit(unk))
-    ).drop("count")
+    found = lookup(tokens, vocab.select("token", "count", "id"), "token", "count")
+    return found.withColumn("id", F.coalesce("id", F.lit(unk))).drop("count")
 
 
 def gather_ids(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -72,6 +72,7 @@ def encode(
     A vocabulary that passes the size check goes to every task and whole Arrow
     batches are looked up in place, so no token is shuffled. A larger one is joined.
     """
+    vocab = cut_lineage(vocab, "vocab")
     if not fits_broadcast(vocab, F.octet_length("token")):
         empty = df.select(key, F.array().cast("array<int>").alias("_none"))
         found = gather_ids(encode_tokens(tokenize_words(df, key, text), vocab, unk), key)
@@ -88,9 +89,10 @@ def encode(
         tokens, ids = entries.value
         found = pc.take(ids, pc.index_in(column.flatten(), value_set=tokens))
         sizes = pc.fill_null(pc.list_value_length(column), 0)
-        ends = pc.cumulative_sum(sizes)
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
-        return pa.ListArray.from_arrays(offsets, pc.fill_null(found, unk).cast(pa.int32()))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        missing = pa.array(np.asarray(column.is_null()))
+        ids = pc.fill_null(found, unk).cast(pa.int32())
+        return pa.ListArray.from_arrays(pa.array(offsets), ids, mask=missing)
 
     return df.select(key, look_up(words(text)).alias("input_ids"))
 

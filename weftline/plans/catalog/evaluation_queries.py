@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ...functions import ids as I
 from ...operators import quality, run_metrics, text_metrics
 from ...operators.loader import with_batch
+from ...operators.quantiles import exact_quantiles
 from ..corpus import byte_length, corpus_blocks
-from .registry import query, sql_words, table
+from .registry import documents, query, sql_words, table
 
 
 @query(
@@ -33,7 +34,7 @@ def perplexity_macro_micro(spark, sf_dir):
     FROM t JOIN c USING (token), s GROUP BY doc_id""",
 )
 def unigram_perplexity(spark, sf_dir):
-    out = text_metrics.unigram_perplexity(table(spark, sf_dir, "documents"))
+    out = text_metrics.unigram_perplexity(documents(spark, sf_dir, "doc_id", "text"))
     return out.withColumn("perplexity", F.round("perplexity", 3))
 
 
@@ -81,7 +82,7 @@ def _bleu_sql() -> str:
 
 @query("corpus_bleu", _bleu_sql())
 def corpus_bleu(spark, sf_dir):
-    pairs = table(spark, sf_dir, "documents").select(
+    pairs = documents(spark, sf_dir, "doc_id", "text").select(
         F.col("doc_id").alias("id"),
         _drop_every(7).alias("hyp"),
         F.array("text", _drop_every(5)).alias("refs"),
@@ -282,7 +283,7 @@ def shape_check(spark, sf_dir):
       min(c) AS min_chars, max(c) AS max_chars, round(avg(c), 6) AS mean_chars FROM m GROUP BY ROLLUP (source, lang)""",
 )
 def corpus_profile(spark, sf_dir):
-    out = quality.corpus_profile(table(spark, sf_dir, "documents"), ["source", "lang"])
+    out = quality.corpus_profile(documents(spark, sf_dir, "source", "lang", "text"), ["source", "lang"])
     return out.withColumn("mean_chars", F.round("mean_chars", 6))
 
 
@@ -292,8 +293,6 @@ def corpus_profile(spark, sf_dir):
     SELECT source, q::DOUBLE AS q, round(CASE q WHEN 0.1 THEN v[1] WHEN 0.5 THEN v[2] ELSE v[3] END, 6) AS quantile FROM q""",
 )
 def corpus_quantiles(spark, sf_dir):
-    from ...operators.quantiles import exact_quantiles
-
     out = exact_quantiles(table(spark, sf_dir, "documents"), ["source"], "n_chars", [0.1, 0.5, 0.9])
     return out.withColumn("quantile", F.round("quantile", 6))
 

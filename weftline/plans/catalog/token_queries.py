@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ...functions import ids as I
 from ...functions import paths
 from ...operators import bpe, vocabulary
-from .registry import SQL_MODALITY, SQL_PATH, derived_path, query, sql_bytes, sql_digest, sql_words, table
+from .registry import SQL_MODALITY, SQL_PATH, derived_path, documents, query
+from .registry import sql_bytes, sql_digest, sql_words, table
 
 VOCAB_SIZE = 5000
 N_MERGES = 8
@@ -19,7 +20,7 @@ N_MERGES = 8
     FROM (SELECT doc_id, {sql_bytes("text")} AS ids FROM documents)""",
 )
 def byte_tokens(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("doc_id", I.byte_ids("text").alias("ids"))
+    df = documents(spark, sf_dir, "doc_id", "text").select("doc_id", I.byte_ids("text").alias("ids"))
     return df.select("doc_id", F.size("ids").alias("n_ids"), I.checksum("ids").alias("digest"))
 
 
@@ -29,7 +30,7 @@ def byte_tokens(spark, sf_dir):
     FROM documents""",
 )
 def append_eos(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir, "doc_id", "text").select(
         "doc_id",
         F.md5(F.encode(I.append_eos_text("text"), "UTF-8")).alias("text_digest"),
         I.checksum(I.append_eos(I.byte_ids("text"))).alias("id_digest"),
@@ -44,7 +45,7 @@ def append_eos(spark, sf_dir):
       sum((pos + 1) * length(token))::BIGINT AS weight FROM t GROUP BY doc_id""",
 )
 def word_tokens(spark, sf_dir):
-    tokens = vocabulary.tokenize_words(table(spark, sf_dir, "documents"))
+    tokens = vocabulary.tokenize_words(documents(spark, sf_dir, "doc_id", "text"))
     return tokens.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_words"),
         F.max("pos").alias("last_pos"),
@@ -63,7 +64,7 @@ _RANKED = """SELECT token, count, (11 + row_number() OVER (ORDER BY count DESC,
     f"""WITH {_COUNTS} SELECT * FROM ({_RANKED}) WHERE id < 12 + {VOCAB_SIZE}""",
 )
 def vocab_topk(spark, sf_dir):
-    counts = vocabulary.count_words(table(spark, sf_dir, "documents"))
+    counts = vocabulary.count_words(documents(spark, sf_dir, "doc_id", "text"))
     return vocabulary.build_vocab(counts, VOCAB_SIZE)
 
 
@@ -73,7 +74,7 @@ def vocab_topk(spark, sf_dir):
     FROM counts WHERE count >= 2""",
 )
 def vocab_full(spark, sf_dir):
-    counts = vocabulary.count_words(table(spark, sf_dir, "documents"))
+    counts = vocabulary.count_words(documents(spark, sf_dir, "doc_id", "text"))
     return vocabulary.build_vocab(counts, None, 2)
 
 
@@ -98,7 +99,7 @@ def _summary(encoded):
 
 @query("vocab_encode", _ENCODED)
 def vocab_encode(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     vocab = vocabulary.build_vocab(vocabulary.count_words(docs), VOCAB_SIZE)
     return _summary(vocabulary.encode(docs, vocab))
 
@@ -110,7 +111,7 @@ def vocab_encode(spark, sf_dir):
     FROM t JOIN vocab USING (token) GROUP BY doc_id""",
 )
 def vocab_encode_join(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     vocab = vocabulary.build_vocab(vocabulary.count_words(docs))
     coded = vocabulary.encode_tokens(vocabulary.tokenize_words(docs), vocab)
     return coded.groupBy("doc_id").agg(
@@ -144,7 +145,7 @@ def _merge_chain(rounds: int) -> str:
     ),
 )
 def bpe_merges(spark, sf_dir):
-    return bpe.train_bpe(vocabulary.count_words(table(spark, sf_dir, "documents")), N_MERGES)
+    return bpe.train_bpe(vocabulary.count_words(documents(spark, sf_dir, "doc_id", "text")), N_MERGES)
 
 
 @query(
@@ -158,7 +159,7 @@ def bpe_merges(spark, sf_dir):
       md5(coalesce(s, '')) AS digest FROM documents d LEFT JOIN e USING (doc_id)""",
 )
 def bpe_encode(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     merges = bpe.train_bpe(vocabulary.count_words(docs), N_MERGES)
     coded = bpe.encode_bpe(docs.select("doc_id", I.words("text").alias("w")), "w", merges)
     return coded.select(

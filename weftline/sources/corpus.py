@@ -14,10 +14,21 @@ from ..operators.ordering import with_ordinal
 HEAD_ROWS = 10_000
 
 
-def read_corpus(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A parquet corpus; only the named columns are read."""
+def read_corpus(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, spread: bool = False
+) -> DataFrame:
+    """A parquet corpus; only the named columns are read.
+
+    With ``spread`` a corpus with fewer splits than cores (a few files that cannot be
+    split) is repartitioned, so that work on the texts uses all cores. A corpus of
+    many splits is read in place, without a shuffle.
+    """
     df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(2 * cores)
+    return df
 
 
 def split_slice(
