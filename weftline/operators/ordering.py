@@ -100,6 +100,7 @@ def with_offsets(
     length: Column | None = None,
     groups: Mapping[str, Column] | None = None,
     ranges: int | None = None,
+    staged: bool = False,
 ) -> DataFrame:
     """Add ``ord`` (dense, from 0) and ``start`` (sum of the lengths before).
 
@@ -108,14 +109,16 @@ def with_offsets(
     inside the row's group. The hidden columns ``HIDDEN`` stay for ``cut_blocks``.
 
     ``df`` is read twice: once for keys and lengths only, which are kept in the
-    shared folder, and once in full. Rows move in one shuffle, by range. Lengths
+    shared folder, and once in full. With ``staged`` (``df`` is a written table whose
+    lengths are cheap) keys are read in place instead. Rows move in one shuffle, by range. Lengths
     are computed before it; build long id arrays after this call, so that the
     shuffle moves the shorter source text. What reaches the driver is a few numbers
     per range, at most ``MAX_RANGES`` times.
     """
     order = list(order)
     sized = df.withColumn("_len", F.lit(1).cast("bigint") if length is None else length.cast("bigint"))
-    keys = cut_lineage(sized.select(*order, "_len"), "keys")
+    keys = sized.select(*order, "_len")
+    keys = keys if staged else cut_lineage(keys, "keys")
     bounds = _bounds(keys, order, ranges)
     n_ranges = len(bounds) + 1
 
@@ -183,8 +186,12 @@ def with_offsets(
 
 
 def with_ordinal(
-    df: DataFrame, order: Sequence[str], name: str = "ord", ranges: int | None = None
+    df: DataFrame,
+    order: Sequence[str],
+    name: str = "ord",
+    ranges: int | None = None,
+    staged: bool = False,
 ) -> DataFrame:
     """Add a dense ordinal from 0 in the given order."""
-    out = with_offsets(df, order, ranges=ranges).drop("start", *HIDDEN)
+    out = with_offsets(df, order, ranges=ranges, staged=staged).drop("start", *HIDDEN)
     return out if name == "ord" else out.withColumnRenamed("ord", name)

@@ -25,7 +25,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[f
         df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), "counts"
     )
     placed = with_offsets(
-        counts, [*by, value], F.col("_n"), {f"_key_{k}": F.col(k) for k in by}
+        counts, [*by, value], F.col("_n"), {f"_key_{k}": F.col(k) for k in by}, staged=True
     ).select(*by, value, "rel", "_n")
     sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     sizes = sizes.withColumnsRenamed({k: f"_size_{k}" for k in by})

@@ -38,7 +38,7 @@ def build_vocab(counts: DataFrame, max_size: int | None = None, min_count: int =
         # At most BROADCAST_ROWS rows are left.
         ranked = top.withColumn("_rank", F.row_number().over(Window.orderBy("_rank_by", "token")) - 1)
     else:
-        ranked = with_ordinal(cut_lineage(kept, "counts"), ["_rank_by", "token"], "_rank")
+        ranked = with_ordinal(cut_lineage(kept, "counts"), ["_rank_by", "token"], "_rank", staged=True)
         if max_size is not None:
             ranked = ranked.where(F.col("_rank") < max_size)
     return ranked.select(

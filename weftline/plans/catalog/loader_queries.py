@@ -21,7 +21,7 @@ BATCH_ROWS = 100
 )
 def row_ordinal(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return with_ordinal(df, ["source", "n_chars", "doc_id"]).drop("n_chars")
+    return with_ordinal(df, ["source", "n_chars", "doc_id"], staged=True).drop("n_chars")
 
 
 def _pack_sql(block: int, batch_rows: int) -> str:
