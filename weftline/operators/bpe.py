@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 
@@ -17,24 +17,31 @@ MERGES_PER_ROUND = 64
 ROUNDS_PER_STAGE = 12
 
 
-def _symbols(state: str = "_state"):
+def _symbols(state: str) -> Column:
     inner = F.expr(f"substring({state}, 2, length({state}) - 2)")
     return F.split(inner, CLOSE + OPEN)
 
 
-def _pair_counts(words: DataFrame) -> DataFrame:
-    pairs = F.expr(
-        "transform(sequence(1, size(_s) - 1), i -> struct(_s[i - 1] as left, _s[i] as right))"
-    )
-    return (
-        words.select("count", _symbols().alias("_s"))
-        .where(F.size("_s") > 1)
-        .select("count", F.inline(pairs))
-        .groupBy("left", "right")
-        .agg(F.sum("count").alias("count"))
+def _pairs(symbols: str, count: Column) -> Column:
+    """``left, right, count`` of each two neighbours."""
+    left = F.slice(symbols, 1, F.size(symbols) - 1)
+    right = F.slice(symbols, 2, F.size(symbols) - 1)
+    return F.zip_with(
+        left, right, lambda a, b: F.struct(a.alias("left"), b.alias("right"), count.alias("count"))
     )
 
 
+def _summed(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("left", "right").agg(F.sum("count").alias("count")).where(F.col("count") != 0)
+
+
+def _merged(state: Column, merges: list) -> Column:
+    for row in merges:
+        pair = OPEN + row["left"] + CLOSE + OPEN + row["right"] + CLOSE
+        state = F.replace(state, F.lit(pair), F.lit(OPEN + row["left"] + row["right"] + CLOSE))
+    return state
+
+
 def _independent(ranked: list, products: set[str], wanted: int) -> list:
     """The leading merges that later merges of the same round cannot change.
 
@@ -67,28 +74,40 @@ def _independent(ranked: list, products: set[str], wanted: int) -> list:
 def train_bpe(counts: DataFrame, n_merges: int) -> DataFrame:
     """``rank, left, right, count`` of the merges learned from ``token, count``.
 
-    Each round merges the most frequent adjacent pair, ties by ``(left, right)``.
-    Only the leading pairs of a round reach the driver.
+    Merges the most frequent adjacent pair, ties by ``(left, right)``, again and
+    again. Pair counts are kept as a table; a round only adds the differences of the
+    words that its merges change. Only the leading pairs of a round reach the driver.
     """
-    spark = counts.sparkSession
-    # Words of one character never hold a pair.
     letters = F.regexp_replace("token", "(?s)(.)", OPEN + "$1" + CLOSE)
-    words = cut_lineage(counts.where(F.length("token") > 1).select("count", letters.alias("_state")), "words")
+    # Words of one character never hold a pair.
+    words = cut_lineage(
+        counts.where(F.length("token") > 1).select("count", letters.alias("_state")), "words"
+    )
+    split = words.select("count", _symbols("_state").alias("_s"))
+    pairs = cut_lineage(_summed(split.select(F.inline(_pairs("_s", F.col("count"))))), "pairs")
     merges, products, rounds = [], set(), 0
-    while len(merges) < n_merges:
+    while True:
         best = F.desc("count"), F.asc("left"), F.asc("right")
-        ranked = _pair_counts(words).orderBy(*best).limit(MERGES_PER_ROUND).collect()
-        if not ranked:
-            break
-        for row in _independent(ranked, products, n_merges - len(merges)):
+        ranked = _summed(pairs).orderBy(*best).limit(MERGES_PER_ROUND).collect()
+        batch = _independent(ranked, products, n_merges - len(merges))
+        for row in batch:
             merges.append((len(merges), row["left"], row["right"], row["count"]))
-            pair = OPEN + row["left"] + CLOSE + OPEN + row["right"] + CLOSE
-            merged = OPEN + row["left"] + row["right"] + CLOSE
-            words = words.withColumn("_state", F.replace("_state", F.lit(pair), F.lit(merged)))
+        if not batch or len(merges) >= n_merges:
+            break
+        # A word keeps its spelling, so a merge shows as fewer marks.
+        changed = words.withColumn("_next", _merged(F.col("_state"), batch)).where(
+            F.length("_next") < F.length("_state")
+        )
+        split = changed.select("count", _symbols("_state").alias("_s"), _symbols("_next").alias("_t"))
+        moved = F.concat(_pairs("_s", -F.col("count")), _pairs("_t", F.col("count")))
+        pairs = pairs.unionByName(cut_lineage(_summed(split.select(F.inline(moved))), "pairs"))
+        words = words.withColumn("_state", _merged(F.col("_state"), batch))
         rounds += 1
         if rounds % ROUNDS_PER_STAGE == 0:
-            words = cut_lineage(words, "words")
-    return spark.createDataFrame(merges, "rank int, left string, right string, count bigint")
+            words, pairs = cut_lineage(words, "words"), cut_lineage(_summed(pairs), "pairs")
+    return counts.sparkSession.createDataFrame(
+        merges, "rank int, left string, right string, count bigint"
+    )
 
 
 def encode_bpe(df: DataFrame, words_col: str, merges: DataFrame, out: str = "symbols") -> DataFrame:

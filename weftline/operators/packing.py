@@ -78,8 +78,12 @@ def cut_blocks(
     def is_whole(b: Column) -> Column:
         return (b >= F.col("_w0")) & (b <= F.col("_w1"))
 
-    whole = docs.where((F.col("_b1") >= F.col("_w0")) & (F.col("_b0") <= F.col("_w1")))
-    crossing = docs.where((F.col("_b0") < F.col("_w0")) | (F.col("_b1") > F.col("_w1")))
+    # Without coalesce, Catalyst would push different NULL checks below the shuffle of
+    # the two branches, and they could not share it.
+    has_whole = (F.col("_b1") >= F.col("_w0")) & (F.col("_b0") <= F.col("_w1"))
+    has_crossing = (F.col("_b0") < F.col("_w0")) | (F.col("_b1") > F.col("_w1"))
+    whole = docs.where(F.coalesce(has_whole, F.lit(False)))
+    crossing = docs.where(F.coalesce(has_crossing, F.lit(False)))
     return join_up(pieces(whole, is_whole), ["_range", *groups, "block_no"]).unionByName(
         join_up(pieces(crossing, lambda b: ~is_whole(b)), [*groups, "block_no"])
     )
