@@ -80,9 +80,19 @@ def shard_batches(df: DataFrame, world_size: int, even: bool = False) -> DataFra
     )
 
 
-def write_ranks(df: DataFrame, path: str) -> None:
-    """Write rank shards as directories ``rank=0`` ... of one parquet table."""
-    df.write.partitionBy("rank").parquet(path)
+def write_ranks(df: DataFrame, path: str, steps_per_file: int = 1024) -> None:
+    """Write rank shards as directories ``rank=0`` ... of one parquet table.
+
+    A file holds ``steps_per_file`` consecutive steps of one rank, in order, so the
+    number of files does not grow with the number of tasks.
+    """
+    chunk = F.expr(f"local_step div {int(steps_per_file)}")
+    (
+        df.repartition("rank", chunk)
+        .sortWithinPartitions("rank", "local_step")
+        .write.partitionBy("rank")
+        .parquet(path)
+    )
 
 
 def step_plan(batches: DataFrame, batch: int = 1, world: int = 1, accum: int = 1) -> DataFrame:

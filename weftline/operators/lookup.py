@@ -35,6 +35,8 @@ def lookup(
         return rows.join(head, key, "left")
     known = head.select(key)
     tail = table.join(known, key, "left_anti")
-    return rows.join(head, key).unionByName(
-        rows.join(known, key, "left_anti").join(tail, key, "left")
-    )
+    marked = rows.join(head.withColumn("_known", F.lit(True)), key, "left")
+    # Rows without a key find nothing; they must not meet in one shuffle partition.
+    done = marked.where(F.col("_known").isNotNull() | F.col(key).isNull()).drop("_known")
+    rest = rows.where(F.col(key).isNotNull()).join(known, key, "left_anti")
+    return done.unionByName(rest.join(tail, key, "left"))

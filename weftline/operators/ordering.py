@@ -16,13 +16,14 @@ from collections.abc import Mapping, Sequence
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..session import cut_lineage
 
 MAX_RANGES = 65_536
 ROWS_PER_RANGE = 100_000
 SAMPLES_PER_RANGE = 8
+BOUND_CHARS = 128
 
 HIDDEN = ("_len", "_range", "_lo", "_hi", "_base")
 
@@ -41,7 +42,13 @@ def _bounds(keys: DataFrame, order: Sequence[str], ranges: int | None) -> list[s
     ranges = min(ranges, MAX_RANGES, total)
     if ranges < 2:
         return []
-    keys = keys.select(*order)
+    # A prefix of a long string separates as well and keeps the bounds small.
+    keys = keys.select(
+        *[
+            F.substring(c, 1, BOUND_CHARS).alias(c) if keys.schema[c].dataType == StringType() else F.col(c)
+            for c in order
+        ]
+    )
     every = total // (ranges * SAMPLES_PER_RANGE)
     if every > 1:
         keys = keys.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0)

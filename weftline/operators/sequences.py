@@ -20,15 +20,22 @@ def length_budget(
     )
 
 
-def pad_batch(df: DataFrame, batch_col: str, ids: str = "input_ids", pad_id: int = I.PAD) -> DataFrame:
-    """Right-pad each row to the longest row of its batch.
+def batch_longest(df: DataFrame, batch_col: str, length: Column, out: str = "longest") -> DataFrame:
+    """Add the greatest length in the row's batch.
 
-    A batch is as large as the loader made it, never a share of the table.
+    Call it on the texts: lengths are enough here, and texts are shorter to shuffle
+    than ids. A batch is as large as the loader made it, never a share of the table.
     """
-    longest = F.max(F.size(ids)).over(Window.partitionBy(batch_col))
-    return df.withColumn("_longest", longest).withColumn(
-        ids, I.pad_to(ids, F.col("_longest"), pad_id)
-    ).drop("_longest")
+    return df.withColumn(out, F.max(length).over(Window.partitionBy(batch_col)))
+
+
+def pad_batch(df: DataFrame, batch_col: str, ids: str = "input_ids", pad_id: int = I.PAD) -> DataFrame:
+    """Right-pad each row to the longest row of its batch."""
+    return (
+        batch_longest(df, batch_col, F.size(ids), "_longest")
+        .withColumn(ids, I.pad_to(ids, F.col("_longest"), pad_id))
+        .drop("_longest")
+    )
 
 
 def has_modality(modality: str, enabled: Sequence[str], column: str | None = None) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ids as I
-from ..operators.sequences import encode_sample, pad_batch, slot_layout
+from ..operators.sequences import batch_longest, encode_sample, slot_layout
 from .presets import PRESETS
 
 
@@ -26,7 +26,13 @@ def prepare_samples(
 ) -> DataFrame:
     """Encoded samples of a preset: tokens with markers, labels, mask, media."""
     p = PRESETS[preset]
-    padded = pad_batch(text_ids(df, text, p.max_len), batch_col)
+    length = F.least(I.byte_count(text) + 2, F.lit(p.max_len))
+    placed = batch_longest(df, batch_col, length, "_longest")
+    padded = (
+        text_ids(placed, text, p.max_len)
+        .withColumn("input_ids", I.pad_to("input_ids", F.col("_longest")))
+        .drop("_longest")
+    )
     return encode_sample(padded, "input_ids", p.media, p.prefix, features=features, enabled=enabled).drop(text)
 
 
