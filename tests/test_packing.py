@@ -76,6 +76,23 @@ def test_pack_by_key_with_a_hot_key(spark, ranges):
         assert [r["ids"] for r in mine] == [flat[i : i + 8] for i in range(0, len(flat), 8)]
 
 
+@pytest.mark.parametrize("batch_rows", [1, 5, None])
+def test_text_blocks_equal_array_blocks(spark, batch_rows):
+    texts = ["", "añ", "x" * 95, "日本語" * 9, "é", "line\nline\r\n" * 5, "", "😀" * 7, "\x00\u0100"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    rows = [(i, [b + 12 for b in t.encode()] + [2]) for i, t in enumerate(texts)]
+    rows = [(i, ids, [1] * len(ids)) for i, ids in rows]
+    got = corpus_blocks(df, 16, batch_rows).collect()
+    if batch_rows is None:
+        flat = [x for r in rows for x in r[1]]
+        assert {r["block_no"]: r["input_ids"] for r in got} == {
+            i: flat[i * 16 : i * 16 + 16] for i in range(len(flat) // 16)
+        }
+        return
+    want = packed(rows, 16, batch_rows)
+    assert {(r["batch_id"], r["block_no"]): {"ids": r["input_ids"], "src": r["attention_mask"]} for r in got} == want
+
+
 def test_columns_of_different_length_are_an_error(spark):
     df = spark.createDataFrame([(0, [1, 2], [1]), (1, [3], [1])], "doc_id bigint, a array<int>, b array<int>")
     with pytest.raises(PySparkException, match="announced length"):

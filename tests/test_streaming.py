@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import ids as I
@@ -17,11 +18,12 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-def test_packing_carries_the_rest_over(spark, tmp_path):
+@pytest.mark.parametrize("text", [True, False])
+def test_packing_carries_the_rest_over(spark, tmp_path, text):
     rows = [(i, "hot" if i % 3 else "cold", "a" * (i % 17)) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
     live = arrive(spark, df, str(tmp_path / "in"), 4).select(
-        "source", "doc_id", I.append_eos(I.byte_ids("text")).alias("input_ids")
+        "source", "doc_id", (I.byte_chars("text") if text else I.append_eos(I.byte_ids("text"))).alias("input_ids")
     )
     blocks = run_to_parquet(pack_stream(live, "source", 16, lanes=3), "t").collect()
     assert all(len(r["input_ids"]) == 16 for r in blocks)

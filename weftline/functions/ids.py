@@ -28,6 +28,9 @@ SPECIAL_IDS = {
 FIRST_PAYLOAD_ID = 12
 MEDIA = ("image", "audio", "video", "any")
 
+# Stands for the end mark among bytes, which are the characters up to 255.
+END_CHAR = "\u0100"
+
 WORD_PATTERN = r"[\p{L}\p{N}]+"
 
 
@@ -67,6 +70,23 @@ def byte_count(text: Column | str) -> Column:
     return F.octet_length(_col(text)).cast("bigint")
 
 
+def byte_chars(text: Column | str) -> Column:
+    """A string with one character per id: the text's bytes, then the end mark.
+
+    Strings of any length are cheap to cut and to shuffle; ``ids_of_chars`` makes the
+    ids once the pieces are short.
+    """
+    return F.concat(F.decode(F.encode(_col(text), "UTF-8"), "ISO-8859-1"), F.lit(END_CHAR))
+
+
+def ids_of_chars(chars: Column | str) -> Column:
+    """Ids of a string made by ``byte_chars`` or of a piece of it."""
+    codes = F.transform(F.split(_col(chars), ""), lambda c: F.ascii(c))
+    return F.transform(
+        codes, lambda x: F.when(x == ord(END_CHAR), F.lit(EOS)).otherwise(x + F.lit(FIRST_PAYLOAD_ID))
+    )
+
+
 def words(text: Column | str) -> Column:
     """The words of a text, in order: maximal runs of letters and digits."""
     return F.regexp_extract_all(_col(text), F.lit(WORD_PATTERN), 0)

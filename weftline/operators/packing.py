@@ -13,67 +13,104 @@ def batch_number(batch_rows: int) -> Column:
     return F.expr(f"ord div {int(batch_rows)}")
 
 
+def _size(col: str, chars: bool) -> Column:
+    return F.char_length(col) if chars else F.size(col)
+
+
+def _checked(cols: Sequence[str], size) -> list[Column]:
+    """The columns, or an error where a length differs from the announced one.
+
+    Naming a column twice also keeps Catalyst from moving its expression into the
+    lambdas below, where it would run once per piece.
+    """
+    return [
+        F.when(size(F.col(c)) == F.col("_len"), F.col(c))
+        .otherwise(F.raise_error(F.lit(f"column {c} does not have the announced length")))
+        .alias(c)
+        for c in cols
+    ]
+
+
+def _array_pieces(cols: Sequence[str], size: int, wanted) -> Column:
+    """``block_no, _at`` and one slice of each array per wanted block."""
+
+    def piece(b: Column) -> Column:
+        begin = F.greatest(b * size - F.col("_rel"), F.lit(0))
+        stop = F.least((b + 1) * size - F.col("_rel"), F.col("_len"))
+        take = (stop - begin).cast("int")
+        return F.struct(
+            b.alias("block_no"),
+            (F.col("_rel") + begin).alias("_at"),
+            *[F.slice(F.col(c), (begin + 1).cast("int"), take).alias(c) for c in cols],
+        )
+
+    return F.transform(F.filter(F.sequence("_b0", "_b1"), wanted), piece)
+
+
+def _char_pieces(col: str, size: int, wanted) -> Column:
+    """``block_no, _at`` and one substring per wanted block.
+
+    Positions in a string are found by counting from its start, so the string is cut
+    in one pass instead of once per piece.
+    """
+    head = F.least(F.col("_len"), (F.col("_b0") + 1) * size - F.col("_rel")).cast("int")
+    rest = F.regexp_extract_all(F.substring(F.col(col), head + 1, F.char_length(col)), F.lit(f"(?s).{{1,{size}}}"), 0)
+    listed = F.concat(F.array(F.substring(F.col(col), F.lit(1), head)), rest)
+    numbered = F.transform(
+        listed,
+        lambda text, i: F.struct(
+            (F.col("_b0") + i).alias("block_no"),
+            F.greatest((F.col("_b0") + i) * size, F.col("_rel")).alias("_at"),
+            text.alias(col),
+        ),
+    )
+    return F.filter(numbered, lambda p: wanted(p["block_no"]))
+
+
 def cut_blocks(
     placed: DataFrame,
     cols: Sequence[str],
     block_size: int,
     groups: Sequence[str] = (),
-    carry: Sequence[str] = (),
+    chars: bool = False,
 ) -> DataFrame:
     """Blocks of the rows laid out by ``with_offsets``.
 
-    Each document gives one slice per block it touches, so the arrays that move
-    are never longer than a block, and a long document spreads over many blocks.
+    ``cols`` are arrays of equal length, or with ``chars`` one string column that has
+    a character per id. Each document gives one piece per block it touches, so what
+    moves is never longer than a block, and a long document spreads over many blocks.
     Blocks that lie inside one range are put together where the range already
     is; only the blocks that cross the end of a range are shuffled.
     """
     size = int(block_size)
     groups = list(groups)
-    rel = F.col("rel") if groups else F.col("start")
+    rel = "rel" if groups else "start"
     docs = placed.where(F.col("_len") > 0).withColumns(
         {
-            "_rel": rel,
-            "_b0": F.expr(f"{'rel' if groups else 'start'} div {size}"),
-            "_b1": F.expr(f"({'rel' if groups else 'start'} + _len - 1) div {size}"),
+            "_rel": F.col(rel),
+            "_b0": F.expr(f"{rel} div {size}"),
+            "_b1": F.expr(f"({rel} + _len - 1) div {size}"),
             # First and last block that lie inside the range.
-            "_w0": F.ceil((F.col("_lo") - F.col("_base")) / F.lit(size)).cast("bigint"),
-            "_w1": F.floor((F.col("_hi") - F.col("_base")) / F.lit(size)).cast("bigint") - 1,
+            "_w0": F.expr(f"(_lo - _base + {size - 1}) div {size}"),
+            "_w1": F.expr(f"(_hi - _base) div {size} - 1"),
         }
     )
-    checked = [
-        F.when(F.size(c) == F.col("_len"), F.col(c))
-        .otherwise(F.raise_error(F.lit(f"column {c} does not have the announced length")))
-        .alias(c)
-        for c in cols
-    ]
+    checked = _checked(cols, F.char_length if chars else F.size)
 
     def pieces(rows: DataFrame, wanted) -> DataFrame:
         rows = rows.select(
-            "_range", *groups, *[c for c in carry if c not in groups], "_rel", "_len", "_b0", "_b1", "_w0", "_w1", *checked
-        )
-
-        def piece(b: Column) -> Column:
-            begin = F.greatest(b * size - F.col("_rel"), F.lit(0))
-            stop = F.least((b + 1) * size - F.col("_rel"), F.col("_len"))
-            take = (stop - begin).cast("int")
-            return F.struct(
-                b.alias("block_no"),
-                (F.col("_rel") + begin).alias("_at"),
-                *[F.slice(F.col(c), (begin + 1).cast("int"), take).alias(c) for c in cols],
-            )
-
-        blocks = F.filter(F.sequence("_b0", "_b1"), wanted)
-        return rows.select(
-            "_range", *groups, F.inline(F.transform(blocks, piece))
+            "_range", *groups, "_rel", "_len", "_b0", "_b1", "_w0", "_w1", *checked
         )
+        cut = _char_pieces(cols[0], size, wanted) if chars else _array_pieces(cols, size, wanted)
+        return rows.select("_range", *groups, F.inline(cut))
 
     def join_up(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         parts = F.sort_array(F.collect_list(F.struct("_at", *cols)))
-        return (
-            rows.groupBy(*keys)
-            .agg(parts.alias("_parts"))
-            .select(*groups, "block_no", *[F.flatten(F.col(f"_parts.{c}")).alias(c) for c in cols])
-        )
+        joined = [
+            (F.array_join(f"_parts.{c}", "") if chars else F.flatten(F.col(f"_parts.{c}"))).alias(c)
+            for c in cols
+        ]
+        return rows.groupBy(*keys).agg(parts.alias("_parts")).select(*groups, "block_no", *joined)
 
     def is_whole(b: Column) -> Column:
         return (b >= F.col("_w0")) & (b <= F.col("_w1"))
@@ -99,20 +136,21 @@ def pack_batches(
     build: dict[str, Column] | None = None,
     keep_short: bool = True,
     ranges: int | None = None,
+    chars: bool = False,
 ) -> DataFrame:
     """Pack every ``batch_rows`` consecutive rows on their own.
 
     The remainder of a batch is dropped, except that a batch shorter than one
-    block stays as one short block. ``build`` names list columns that are made
-    after the shuffle; their length must be given as ``length``.
+    block stays as one short block. ``build`` names columns that are made after the
+    shuffle; their length must be given as ``length``. ``chars``: see ``cut_blocks``.
     """
-    length = F.size(cols[0]) if length is None else length
+    length = _size(cols[0], chars) if length is None else length
     placed = with_offsets(
         df, order, length, {"batch_id": batch_number(batch_rows)}, ranges=ranges
     )
     placed = placed.withColumns(build) if build else placed
-    blocks = cut_blocks(placed, cols, block_size, ["batch_id"])
-    full = F.size(cols[0]) == int(block_size)
+    blocks = cut_blocks(placed, cols, block_size, ["batch_id"], chars)
+    full = _size(cols[0], chars) == int(block_size)
     return blocks.where(full | (F.col("block_no") == 0) if keep_short else full)
 
 
@@ -125,13 +163,14 @@ def pack_global(
     build: dict[str, Column] | None = None,
     keep_tail: bool = False,
     ranges: int | None = None,
+    chars: bool = False,
 ) -> DataFrame:
     """Pack the whole table as one sequence: at most one remainder."""
-    length = F.size(cols[0]) if length is None else length
+    length = _size(cols[0], chars) if length is None else length
     placed = with_offsets(df, order, length, ranges=ranges)
     placed = placed.withColumns(build) if build else placed
-    blocks = cut_blocks(placed, cols, block_size)
-    return blocks if keep_tail else blocks.where(F.size(cols[0]) == int(block_size))
+    blocks = cut_blocks(placed, cols, block_size, chars=chars)
+    return blocks if keep_tail else blocks.where(_size(cols[0], chars) == int(block_size))
 
 
 def pack_by_key(
@@ -143,17 +182,18 @@ def pack_by_key(
     length: Column | None = None,
     build: dict[str, Column] | None = None,
     ranges: int | None = None,
+    chars: bool = False,
 ) -> DataFrame:
     """Pack each key on its own and keep its tail as a short block.
 
     A key may hold any share of the rows: it is cut into ranges like the rest.
     """
-    length = F.size(cols[0]) if length is None else length
+    length = _size(cols[0], chars) if length is None else length
     placed = with_offsets(
         df, [*keys, *order], length, {f"_key_{k}": F.col(k) for k in keys}, ranges=ranges
     )
     placed = placed.withColumns(build) if build else placed
-    blocks = cut_blocks(placed, cols, block_size, [f"_key_{k}" for k in keys])
+    blocks = cut_blocks(placed, cols, block_size, [f"_key_{k}" for k in keys], chars)
     return blocks.withColumnsRenamed({f"_key_{k}": k for k in keys})
 
 

@@ -85,12 +85,14 @@ def pack_by_source(spark, sf_dir):
     blocks = packing.pack_by_key(
         docs,
         ["source"],
-        ["input_ids"],
+        ["chars"],
         BLOCK,
         ["doc_id"],
         byte_length(),
-        {"input_ids": I.append_eos(I.byte_ids("text"))},
+        {"chars": I.byte_chars("text")},
+        chars=True,
     )
+    blocks = blocks.withColumn("input_ids", I.ids_of_chars("chars"))
     return blocks.select(
         "source", "block_no", F.size("input_ids").alias("n_ids"), I.checksum("input_ids").alias("digest")
     )

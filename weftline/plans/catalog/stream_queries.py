@@ -13,7 +13,8 @@ STREAM_BLOCK = 1024
 
 def _stream(spark, sf_dir, name):
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # A stream reads what a pattern matches: here one file, or one folder of files.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 @query(
@@ -57,9 +58,10 @@ def stream_windows(spark, sf_dir):
 @query("stream_pack")
 def stream_pack(spark, sf_dir):
     docs = _stream(spark, sf_dir, "documents").select(
-        "source", "doc_id", I.append_eos(I.byte_ids("text")).alias("input_ids")
+        "source", "doc_id", I.byte_chars("text").alias("chars")
     )
-    out = run_to_parquet(pack_stream(docs, "source", STREAM_BLOCK, lanes=4), "stream-pack")
+    packed = pack_stream(docs, "source", STREAM_BLOCK, "chars", lanes=4)
+    out = run_to_parquet(packed, "stream-pack").withColumn("input_ids", I.ids_of_chars("chars"))
     return out.groupBy("source", "lane").agg(
         F.count(F.lit(1)).alias("n_blocks"),
         F.sum(F.size("input_ids")).alias("n_ids"),

@@ -16,14 +16,6 @@ def byte_length(text: str = "text") -> Column:
     return I.byte_count(text) + 1
 
 
-def byte_columns(text: str = "text") -> dict[str, Column]:
-    """``input_ids`` and ``attention_mask``, made after the corpus was laid out."""
-    return {
-        "input_ids": I.append_eos(I.byte_ids(text)),
-        "attention_mask": F.array_repeat(F.lit(1), F.col("_len").cast("int")),
-    }
-
-
 def corpus_blocks(
     corpus: DataFrame,
     block_size: int = 8192,
@@ -33,16 +25,21 @@ def corpus_blocks(
 ) -> DataFrame:
     """Blocks of byte ids with their mask, packed per batch or (``None``) over all.
 
-    The shuffle moves the text; ids, four bytes for each byte of text, are made
-    after it.
+    Text is laid out, cut and put together as strings; ids, four bytes for each byte
+    of text, exist only in the finished blocks.
     """
     slim = corpus.select(*order, text)
-    columns = ["input_ids", "attention_mask"]
+    build = {"_chars": I.byte_chars(text)}
     if batch_rows is None:
-        return pack_global(slim, columns, block_size, order, byte_length(text), byte_columns(text))
-    return pack_batches(
-        slim, columns, block_size, batch_rows, order, byte_length(text), byte_columns(text)
-    )
+        blocks = pack_global(slim, ["_chars"], block_size, order, byte_length(text), build, chars=True)
+    else:
+        blocks = pack_batches(
+            slim, ["_chars"], block_size, batch_rows, order, byte_length(text), build, chars=True
+        )
+    ids = I.ids_of_chars("_chars")
+    return blocks.withColumns(
+        {"input_ids": ids, "attention_mask": F.array_repeat(F.lit(1), F.char_length("_chars"))}
+    ).drop("_chars")
 
 
 def corpus_to_ranks(

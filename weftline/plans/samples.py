@@ -12,8 +12,13 @@ from .presets import PRESETS
 
 
 def text_ids(df: DataFrame, text: str, max_len: int, out: str = "input_ids") -> DataFrame:
-    """``<s>``, the bytes of the text, ``<eos>``, cut to ``max_len``."""
-    return df.withColumn(out, I.truncate(I.add_bos(I.append_eos(I.byte_ids(text))), max_len))
+    """``<s>``, the bytes of the text, ``<eos>``, cut to ``max_len``.
+
+    A character is at least one byte, so only the first ``max_len`` characters can
+    reach the result; the others are not tokenized.
+    """
+    ids = I.byte_ids(F.substring(text, 1, max_len))
+    return df.withColumn(out, I.truncate(I.add_bos(I.append_eos(ids)), max_len))
 
 
 def prepare_samples(

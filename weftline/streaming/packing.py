@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType
 
 
 def pack_stream(
@@ -18,38 +19,39 @@ def pack_stream(
     order: str = "doc_id",
     lanes: int = 16,
 ) -> DataFrame:
-    """``key, lane, block_no, input_ids``: full blocks per key and lane.
+    """``key, lane, block_no, <ids>``: full blocks per key and lane.
 
-    A key is split into ``lanes`` by a hash of its documents, so a key with a large
-    share of the stream is packed by several tasks. The state of a lane is fewer than
-    ``block_size`` ids. Documents are taken in arrival order, sorted by ``order``
-    inside one Arrow batch.
+    ``ids`` is an array of ids or a string with one character per id (see
+    ``byte_chars``). A key is split into ``lanes`` by a hash of its documents, so a key
+    with a large share of the stream is packed by several tasks. The state of a lane is
+    fewer than ``block_size`` ids. Documents are taken in arrival order, sorted by
+    ``order`` inside one Arrow batch.
     """
     size = int(block_size)
     key_type = sdf.schema[key].dataType.simpleString()
+    is_text = isinstance(sdf.schema[ids].dataType, StringType)
+    kind = "string" if is_text else "array<int>"
 
     def pack(
         group: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        carry, number = state.get if state.exists else ([], 0)
-        rest = np.asarray(carry, dtype=np.int32)
+        rest, number = state.get if state.exists else ("" if is_text else [], 0)
         for frame in frames:
-            arrays = frame.sort_values(order)[ids]
-            rest = np.concatenate([rest, *arrays]).astype(np.int32)
+            documents = frame.sort_values(order)[ids]
+            if is_text:
+                rest = "".join([rest, *documents])
+            else:
+                rest = np.concatenate([np.asarray(rest, dtype=np.int32), *documents]).astype(np.int32)
             full = len(rest) // size
-            if full:
-                blocks = list(rest[: full * size].reshape(full, size))
+            blocks = [rest[i * size : (i + 1) * size] for i in range(full)]
+            rest = rest[full * size :]
+            if blocks:
+                numbers = range(number, number + full)
+                number += full
                 yield pd.DataFrame(
-                    {
-                        key: group[0],
-                        "lane": group[1],
-                        "block_no": np.arange(number, number + full),
-                        ids: blocks,
-                    }
+                    {key: group[0], "lane": group[1], "block_no": numbers, ids: blocks}
                 )
-                number += full
-                rest = rest[full * size :]
-        state.update(([int(v) for v in rest], int(number)))
+        state.update((rest if is_text else [int(v) for v in rest], int(number)))
 
     lane = F.pmod(F.xxhash64(order), F.lit(int(lanes))).cast("int")
     return (
@@ -57,8 +59,8 @@ def pack_stream(
         .groupBy(key, "lane")
         .applyInPandasWithState(
             pack,
-            f"{key} {key_type}, lane int, block_no bigint, {ids} array<int>",
-            "carry array<int>, next_block bigint",
+            f"{key} {key_type}, lane int, block_no bigint, {ids} {kind}",
+            f"carry {kind}, next_block bigint",
             "append",
             GroupStateTimeout.NoTimeout,
         )
