@@ -55,15 +55,22 @@ def stream_windows(spark, sf_dir):
     )
 
 
-@query("stream_pack")
+# What is left in the state, less than a block per source and lane, is not put out.
+@query(
+    "stream_pack",
+    f"""WITH t AS (SELECT source, doc_id % 4 AS lane, sum(octet_length(encode(text)) + 1)::BIGINT // {STREAM_BLOCK} AS n
+      FROM documents GROUP BY ALL)
+    SELECT source, lane::INT AS lane, n AS n_blocks, n * {STREAM_BLOCK} AS n_ids, n - 1 AS last_block,
+      {STREAM_BLOCK} AS least FROM t WHERE n > 0""",
+)
 def stream_pack(spark, sf_dir):
     docs = _stream(spark, sf_dir, "documents").select(
         "source", "doc_id", I.byte_chars("text").alias("chars")
     )
-    packed = pack_stream(docs, "source", STREAM_BLOCK, "chars", lanes=4)
+    packed = pack_stream(docs, "source", STREAM_BLOCK, "chars", lane=F.col("doc_id") % 4)
     out = run_to_parquet(packed, "stream-pack").withColumn("input_ids", I.ids_of_chars("chars"))
     return out.groupBy("source", "lane").agg(
-        F.count(F.lit(1)).alias("n_blocks"),
+        F.countDistinct("block_no").alias("n_blocks"),
         F.sum(F.size("input_ids")).alias("n_ids"),
         F.max("block_no").alias("last_block"),
         F.min(F.size("input_ids")).alias("least"),

@@ -31,6 +31,8 @@ def prepare_samples(
 ) -> DataFrame:
     """Encoded samples of a preset: tokens with markers, labels, mask, media."""
     p = PRESETS[preset]
+    # Later characters are cut off anyway (see ``text_ids``), so they are not shuffled.
+    df = df.withColumn(text, F.substring(text, 1, p.max_len))
     length = F.least(I.byte_count(text) + 2, F.lit(p.max_len))
     placed = batch_longest(df, batch_col, length, "_longest")
     padded = (

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StringType
 
@@ -18,13 +18,14 @@ def pack_stream(
     ids: str = "input_ids",
     order: str = "doc_id",
     lanes: int = 16,
+    lane: Column | None = None,
 ) -> DataFrame:
     """``key, lane, block_no, <ids>``: full blocks per key and lane.
 
     ``ids`` is an array of ids or a string with one character per id (see
-    ``byte_chars``). A key is split into ``lanes`` by a hash of its documents, so a key
-    with a large share of the stream is packed by several tasks. The state of a lane is
-    fewer than ``block_size`` ids. Documents are taken in arrival order, sorted by
+    ``byte_chars``). A key is split into ``lanes`` by a hash of its documents, or by
+    ``lane``, so a key with a large share of the stream is packed by several tasks. The
+    state of a lane is fewer than ``block_size`` ids. Documents are taken in arrival order, sorted by
     ``order`` inside one Arrow batch.
     """
     size = int(block_size)
@@ -53,9 +54,10 @@ def pack_stream(
                 )
         state.update((rest if is_text else [int(v) for v in rest], int(number)))
 
-    lane = F.pmod(F.xxhash64(order), F.lit(int(lanes))).cast("int")
+    if lane is None:
+        lane = F.pmod(F.xxhash64(order), F.lit(int(lanes)))
     return (
-        sdf.select(key, order, ids, lane.alias("lane"))
+        sdf.select(key, order, ids, lane.cast("int").alias("lane"))
         .groupBy(key, "lane")
         .applyInPandasWithState(
             pack,
