@@ -23,7 +23,7 @@ from ..session import cut_lineage
 MAX_RANGES = 65_536
 ROWS_PER_RANGE = 100_000
 SAMPLES_PER_RANGE = 8
-BOUND_CHARS = 128
+BOUND_CHARS = 256
 
 HIDDEN = ("_len", "_range", "_lo", "_hi", "_base")
 
@@ -31,9 +31,9 @@ HIDDEN = ("_len", "_range", "_lo", "_hi", "_base")
 def _bounds(keys: DataFrame, order: Sequence[str], ranges: int | None) -> list[str]:
     """Keys (as JSON) that cut the table into ranges of about equal size.
 
-    The driver sees about ``MAX_RANGES * SAMPLES_PER_RANGE`` keys at most, however
-    long the table is. Rows are sampled by a hash of their key, so the choice does
-    not depend on the partitioning.
+    The sample has about ``MAX_RANGES * SAMPLES_PER_RANGE`` keys at most, however long
+    the table is. Rows are sampled by a hash of their key, so the choice does not
+    depend on the partitioning.
     """
     total = keys.count()
     if ranges is None:
@@ -42,6 +42,9 @@ def _bounds(keys: DataFrame, order: Sequence[str], ranges: int | None) -> list[s
     ranges = min(ranges, MAX_RANGES, total)
     if ranges < 2:
         return []
+    every = total // (ranges * SAMPLES_PER_RANGE)
+    if every > 1:
+        keys = keys.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0)
     # A prefix of a long string separates as well and keeps the bounds small.
     keys = keys.select(
         *[
@@ -49,13 +52,11 @@ def _bounds(keys: DataFrame, order: Sequence[str], ranges: int | None) -> list[s
             for c in order
         ]
     )
-    every = total // (ranges * SAMPLES_PER_RANGE)
-    if every > 1:
-        keys = keys.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0)
-    sample = keys.distinct().orderBy(*order).select(F.to_json(F.struct(*order)))
-    found = [r[0] for r in sample.collect()]
-    step = max(1, math.ceil(len(found) / ranges))
-    return found[step::step]
+    sampled = keys.agg(F.sort_array(F.collect_set(F.struct(*order))).alias("_keys"))
+    step = F.greatest(F.ceil(F.size("_keys") / F.lit(ranges)), F.lit(1))
+    cuts = F.filter("_keys", lambda key, i: (i > 0) & (i % F.col("_step") == 0))
+    found = sampled.withColumn("_step", step).select(F.transform(cuts, lambda key: F.to_json(key)))
+    return found.first()[0]
 
 
 def _with_range(df: DataFrame, order: Sequence[str], bounds: list[str]) -> DataFrame:
@@ -171,12 +172,11 @@ def with_offsets(
             F.min_by(F.struct(key.alias("key"), "_run"), "ord").alias("head"),
             F.max_by(F.struct(key.alias("key"), "_run"), "ord").alias("tail"),
         )
-        .orderBy("_range")
         .collect()
     )
     # A group may go on from the range before: give its first run its true base.
     heads, before = [0] * n_ranges, None
-    for e in edges:
+    for e in sorted(edges, key=lambda e: e["_range"]):
         head, tail = e["head"], e["tail"]
         goes_on = before is not None and before[0] == head["key"]
         heads[e["_range"]] = before[1] if goes_on else head["_run"]["start"]

@@ -255,6 +255,7 @@ def vector_health(spark, sf_dir):
 )
 def snapshot_diff(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    # Two versions of the whole table: changed vectors, and keys that one side lacks.
     k = F.col("key")
     stepped = F.when(
         k % 10 < 3, F.transform("embedding", lambda x: (x + F.lit(1)).cast("float"))

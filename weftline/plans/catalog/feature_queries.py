@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions import vectors as V
 from ...operators import features, vocabulary
-from .registry import query, sql_digest, table
-
-OUT_DIM = 8
+from .registry import query, table
 
 
 def _frames(spark, sf_dir):
@@ -133,16 +131,17 @@ def mean_pool(spark, sf_dir):
     )
 
 
-# The first vectors of the table serve as the weight matrix.
-_PROJECTED = f"""WITH w AS (SELECT vec_id AS out_dim, embedding AS w FROM embeddings WHERE vec_id < {OUT_DIM})
-  SELECT e.vec_id, w.out_dim::INT AS out_dim, round(list_dot_product(e.embedding::DOUBLE[], w.w::DOUBLE[]), 6) AS value
+# The mean vector of each label is one row of the weight matrix.
+_PROJECTED = """WITH x AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+    m AS (SELECT label, dim, avg(v::DOUBLE) AS v FROM x GROUP BY ALL),
+    w AS (SELECT label AS out_dim, list(v ORDER BY dim) AS w FROM m GROUP BY label)
+  SELECT e.vec_id, w.out_dim::INT AS out_dim, round(list_dot_product(e.embedding::DOUBLE[], w.w), 6) AS value
   FROM embeddings e, w"""
 
 
 def _weights(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < OUT_DIM).select(
-        F.col("vec_id").cast("int").alias("out_dim"), F.col("embedding").alias("w")
-    )
+    means = features.mean_pool(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
+    return means.select(F.col("label").alias("out_dim"), F.col("embedding").alias("w"))
 
 
 def _projected(run):

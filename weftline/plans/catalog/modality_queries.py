@@ -169,7 +169,7 @@ def routed_union(spark, sf_dir):
 @query(
     "any_modality_stack",
     f"""WITH p AS (SELECT conv_id * 1000 + turn AS sample_id, text,
-        [['text', text], ['image', text], ['csv', substr(text, 1, 10)], ['smell', text]] AS parts FROM conversations),
+        [['text', text], ['image', text], ['csv', text || ',1'], ['smell', text]] AS parts FROM conversations),
       e AS (SELECT sample_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS pos FROM p),
       h AS (SELECT sample_id, pos, {_sql_handled("part[1]", "part[2]")} AS ids FROM e)
     SELECT sample_id, pos::INT AS pos, len(ids)::INT AS n_ids, {sql_digest("ids")} AS digest FROM h""",
@@ -184,7 +184,7 @@ def any_modality_stack(spark, sf_dir):
         F.array(
             part("text", text),
             part("image", text),
-            part("csv", F.substring(text, 1, 10)),
+            part("csv", F.concat(text, F.lit(",1"))),
             part("smell", text),
         ).alias("parts"),
     )
