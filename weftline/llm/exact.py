@@ -123,7 +123,8 @@ def _groups(docs: DataFrame, members: DataFrame, digest) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), normal(F.col("text")).alias("_normal"))
     texts = texts.withColumn("digest", digest(F.col("_normal")))
     same = texts["doc_id"].eqNullSafe(members["doc_id"]) & (texts["digest"] == members["digest"])
-    found = texts.join(members, same, "left_semi")
+    # One plan at every size: texts move once, however few the members are.
+    found = texts.join(members.hint("merge"), same, "left_semi")
     order = F.struct("n_chars", F.col("doc_id").isNotNull(), -F.col("doc_id"))
     equal = found.groupBy("digest", "_normal").agg(
         F.count(F.lit(1)).alias("group_size"), F.max_by("doc_id", order).alias("keep_id")
