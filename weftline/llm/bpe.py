@@ -8,37 +8,30 @@ such pairs begin. A bucket is merged as a whole; entries whose pair has changed
 skipped. Every step is on arrays, and n positions take n log n of them, so a match of a
 million characters is no problem.
 
-A Python worker keeps the ids of matches it has seen, at most ``CACHE`` of at most
-``CACHE_CHARS`` characters; all others are simply encoded again. NULL counts as empty: no
-ids. Repeated rows give repeated rows, an empty table an empty result.
+A Python worker keeps the ids of the parts of texts it has seen (``parts.PartCache``). NULL
+counts as empty: no ids. Repeated rows give repeated rows, an empty table an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
-from itertools import batched, islice
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .words import SPACE, slices
+from .parts import PartCache, gather
+from .words import slices
 
-CACHE = 600_000
-CACHE_CHARS = 64
 BATCH_BYTES = 8 << 20
 #: A part of more characters is split into matches bit by bit.
 LONG_CHARS = 8 << 20
 MATCHES = 500_000
 
-#: White space beyond ASCII (U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000) in UTF-8.
-WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-
 
 def read_ranks(lines: bytes) -> dict[bytes, int]:
     """Ranks from the lines of a rank file: base64 of the token, a space, the rank."""
@@ -197,26 +190,6 @@ class Merges:
         return ids[:n][kept], totals[border]
 
 
-def units(data: np.ndarray, border: np.ndarray) -> np.ndarray:
-    """Borders of parts of the texts that can be split into matches one by one.
-
-    A part ends before a single blank between two characters that are no white space: no
-    match of the split pattern runs across that place or looks behind it. White space
-    beyond ASCII is made of bytes from 0x80 on; next to those bytes a part ends only if
-    the slice has no such white space at all.
-    """
-    n = len(data)
-    solid = ~SPACE[data] & ((data < 0x1C) | (data > 0x1F))
-    if WIDE_SPACE.search(data.tobytes()):
-        solid &= data < 0x80
-    cut = np.zeros(n, dtype=bool)
-    cut[1:-1] = (data[1:-1] == 32) & solid[:-2] & solid[2:]
-    inner = border[(border > 0) & (border < n)]
-    cut[inner - 1] = False
-    cut[inner] = True
-    return np.concatenate([[0], np.flatnonzero(cut), [n]]) if n else np.zeros(1, np.int64)
-
-
 class Codec:
     """Encoder and decoder of one rank table, with the cache of a worker."""
 
@@ -226,7 +199,7 @@ class Codec:
         self.merges = Merges(ranks)
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, bytes] = {}
+        self.parts = PartCache(self._new)
         size = max(ranks.values(), default=-1) + 1
         tokens = [b""] * size
         for token, rank in ranks.items():
@@ -269,25 +242,7 @@ class Codec:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the border of each text among them."""
-        column = pc.fill_null(column.cast(pa.large_string()), "")
-        buffers = column.buffers()
-        border = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(buffers[2] or b"", np.uint8)[border[0] : border[-1]]
-        border = border - border[0]
-        cuts = units(data, border)
-        if len(cuts) < 2:
-            return np.empty(0, "<u4"), np.zeros(len(column) + 1, np.int64)
-        parts = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data))
-        codes = parts.dictionary_encode()
-        distinct = codes.dictionary.to_pylist()
-        made = self._new([part for part in distinct if part not in self.known])
-        coded = [made[part] if part in made else self.known[part] for part in distinct]
-        if len(self.known) + len(made) > CACHE:
-            self.known.clear()
-        self.known.update(islice(((m, v) for m, v in made.items() if len(m) <= CACHE_CHARS), CACHE))
-        start = np.cumsum([0, *map(len, coded)]) // 4
-        ids, totals = gather(np.frombuffer(b"".join(coded), "<u4"), start, codes.indices.to_numpy())
-        return ids, totals[np.searchsorted(cuts, border)]
+        return self.parts.encode(column)
 
     def decode(self, ids: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all sequences of ids in a row, and the border of each among them."""
@@ -295,16 +250,6 @@ class Codec:
         return data, totals[border]
 
 
-def gather(values: np.ndarray, border: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Put together the runs ``values[border[i] : border[i + 1]]`` of all i in ``which``; and their borders."""
-    first, length = border[which], border[which + 1] - border[which]
-    totals = np.zeros(len(which) + 1, np.int64)
-    np.cumsum(length, out=totals[1:])
-    at = np.repeat(first - totals[:-1], length)
-    at += np.arange(len(at))
-    return values[at], totals
-
-
 @cache
 def _codec(lines: bytes, pattern: str) -> Codec:
     return Codec(read_ranks(lines), pattern)

@@ -50,9 +50,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Texts:
-    """The texts of one slice: bytes, borders of texts, words and their hashes."""
+    """The texts of one slice: bytes, borders of texts, words and their hashes.
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    ``of_word`` says which bytes belong to words; ``lower`` folds A-Z in hashes.
+    """
+
+    def __init__(self, column: pa.Array, lower: bool = False, of_word: np.ndarray = ~SPACE):
         column = pc.fill_null(column.cast(pa.large_string()), "")
         buffers = column.buffers()
         offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -61,7 +64,7 @@ class Texts:
         self.border = offsets - first
         self.lower = lower
         n = len(self.bytes)
-        inside = ~SPACE[self.bytes]
+        inside = of_word[self.bytes]
         opens = inside.copy()
         opens[1:] &= ~inside[:-1]
         begins = self.border[:-1]
