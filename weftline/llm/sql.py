@@ -15,3 +15,33 @@ SELECT doc_id,
        sha256(normal) AS text_sha256
 FROM t
 """
+
+SQL["op1_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN []
+    WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))
+    END AS shingles
+  FROM w
+), n AS (SELECT doc_id, len(shingles) AS n_shingles FROM s),
+e AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b
+  FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+  WHERE 100 * least(p.n_shingles, q.n_shingles) >= 85 * greatest(p.n_shingles, q.n_shingles)
+  GROUP BY x.doc_id, y.doc_id, p.n_shingles, q.n_shingles
+  HAVING 100 * count(*) >= 85 * (p.n_shingles + q.n_shingles - count(*))
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT n.doc_id, n.n_shingles, min(reach.b) AS component_id, n.doc_id = min(reach.b) AS kept
+FROM n JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n_shingles
+"""
