@@ -45,3 +45,28 @@ links AS (
 SELECT n.doc_id, n.n_shingles, min(reach.b) AS component_id, n.doc_id = min(reach.b) AS kept
 FROM n JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n_shingles
 """
+
+SQL["op3_suffix_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+         regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS parts
+  FROM documents WHERE text IS NOT NULL
+), word AS (
+  SELECT doc_id, unnest(range(0, len(words))) AS i, unnest(words) AS word, unnest(parts) AS part FROM w
+), placed AS (
+  SELECT doc_id, i, word, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM word
+), windows AS (
+  SELECT doc_id, i, stop - length(word) AS start,
+         md5(string_agg(word, ' ') OVER f) AS passage, max(stop) OVER f AS stop, count(*) OVER f AS n
+  FROM placed WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), repeated AS (
+  SELECT * FROM (SELECT *, min(doc_id) OVER p <> max(doc_id) OVER p AS shared
+                 FROM windows WHERE n = 50 WINDOW p AS (PARTITION BY passage)) WHERE shared
+), runs AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM repeated)
+)
+SELECT doc_id, min(i) AS start_word, max(i) + 50 AS end_word, min(start) AS start, max(stop) AS "end",
+       max(i) + 50 - min(i) AS n_words
+FROM runs GROUP BY doc_id, run
+"""
