@@ -1,32 +1,58 @@
-"""From raw documents to training sequences in stages.
+"""From raw documents to training sequences in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one before has
 kept; its result is written as Parquet and read again. All but the last return the
-columns of ``documents``.
+columns of ``documents`` (and whatever other columns came with them).
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import exact, quality
+from weftline.llm import exact, neardup, packing, pii, quality
 from weftline.session import cut_lineage
 
+#: The last stage gives ids of a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return docs.join(quality.quality(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+    return quality.keep(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    stored = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    return docs.join(exact.exact_dedup(docs, stored).where("kept").select("doc_id"), "doc_id", "left_semi")
+    """One document of each group of equal texts; half of the rows stand for the stored snapshot."""
+    return exact.keep(docs, F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
 
 
-STAGES = [("quality", quality_stage), ("exact", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: shingles of five words, similarity of 0.8 or more."""
+    return neardup.keep(docs, neardup.Params(shingle=5, percent=80))
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked; ``n_chars`` follows the text."""
+    masked = pii.redact(docs, pii.train(docs))
+    if "n_chars" not in docs.columns:
+        return masked
+    kind = docs.schema["n_chars"].dataType
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 4096 ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("exact", exact_stage),
+    ("near", near_stage),
+    ("personal_data", personal_data_stage),
+    ("packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

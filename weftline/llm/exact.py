@@ -118,6 +118,25 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column, digest=sha256) -> DataFram
     )
 
 
+def keep(docs: DataFrame, in_snapshot: Column) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    kept = exact_dedup(docs, in_snapshot).where("kept").select(F.col("doc_id").alias("_kept_id"), "text_sha256")
+    name = fresh(docs, "_sha256")
+    rows = docs.withColumn(name, F.sha2(normal(F.col("text")), 256))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_kept_id"]) & (rows[name] == kept["text_sha256"]), "left_semi")
+    place = fresh(docs, "_place")
+    among = Window.partitionBy("doc_id", name).orderBy(F.desc(F.coalesce(F.length("text"), F.lit(0))))
+    return rows.withColumn(place, F.row_number().over(among)).where(F.col(place) == 1).drop(name, place)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _groups(docs: DataFrame, members: DataFrame, digest) -> DataFrame:
     """Groups of identical normalised texts among the rows named by ``members``."""
     texts = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), normal(F.col("text")).alias("_normal"))

@@ -19,7 +19,8 @@ So no pair within the radius is left out unless both ends are already connected.
 
 Shingles and sets are known by 64-bit hashes. NULL and empty texts have no set and are
 linked with nothing; each such row, also without ``doc_id``, is its own component. Rows with
-equal sets are one component, also when repeated under one ``doc_id``. An empty table
+equal sets are one component, also when repeated under one ``doc_id``; a component whose
+rows all lack a ``doc_id`` has none. An empty table
 gives an empty result.
 """
 
@@ -32,9 +33,10 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..session import cut_lineage
+from .exact import fresh
 from .words import Texts, mix, slices, window_hash
 
 BLOCK = 256
@@ -340,8 +342,30 @@ def near_dedup(docs: DataFrame, params: Params = Params()) -> DataFrame:
     final = final.unionByName(lone)
 
     known = nodes.select("node", "low").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = known.groupBy("label").agg(F.min("low").alias("component_id"))
-    known = known.join(lowest, "label").select("node", "component_id")
+    lowest = known.groupBy("label").agg(F.min(F.struct(F.col("low").isNull(), "low", "node")).alias("lowest"))
+    known = known.join(lowest, "label").select("node", F.col("lowest.low").alias("component_id"), F.col("lowest.node").alias("keep_node"))
     out = rows.select("doc_id", "n_shingles", "node").join(known, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", "node", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    alone = F.col("node").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.col("doc_id").eqNullSafe(component) & (alone | (F.col("node") == F.col("keep_node")))
+    return out.select("doc_id", "n_shingles", "node", component.alias("component_id"), kept.alias("kept"))
+
+
+def keep(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """One row of each component of ``docs``, and all rows without a set, with all their columns."""
+    kept = near_dedup(docs, params).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("node").alias("_kept_node"))
+    name, text = fresh(docs, "_node"), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets, border = shingle_sets(part.column(text), params.shingle)
+                node = pa.array(set_ids(sets, border).view(np.int64), mask=np.diff(border) == 0)
+                yield part.append_column(name, node)
+
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.LongType())]))
+    same = rows["doc_id"].eqNullSafe(kept["_kept_id"]) & rows[name].eqNullSafe(kept["_kept_node"])
+    rows = rows.join(kept, same, "left_semi")
+    place = fresh(docs, "_place")
+    among = Window.partitionBy("doc_id", name).orderBy("text")
+    return rows.withColumn(place, F.row_number().over(among)).where(F.col(name).isNull() | (F.col(place) == 1)).drop(name, place)

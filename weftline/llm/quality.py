@@ -208,6 +208,19 @@ def quality(docs: DataFrame, rules: Rules = Rules(), langs: list[dict] | None =
     return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, {SCHEMA}")
 
 
+def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; rows are judged where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(references(docs, rules))
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(judged(part.column(text), shared.value, rules)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judged(column: pa.Array, langs: list[dict], rules: Rules) -> dict:
     """The output columns for one slice of texts."""
     exact, folded = Texts(column), Texts(column, lower=True)
