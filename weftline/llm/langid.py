@@ -275,7 +275,8 @@ def identify(docs: DataFrame, learn: Column) -> DataFrame:
         )
     scored = cut_lineage(_scored(rows, models), "languages")
     # Evidence grows with the margin and the length of the text; short steps, few rows.
-    evidence = F.least(F.col("margin") * F.sqrt(F.col("n_symbols").cast("double")), F.lit(20.0))
+    grown = F.col("margin") * F.sqrt(F.col("n_symbols").cast("double"))
+    evidence = F.when(grown.isNotNull(), F.least(grown, F.lit(20.0)))
     known = scored.where("learned and lang_pred is not null")
     steps = known.groupBy(F.round(evidence, 1).alias("x")).agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("lang") == F.col("lang_pred")).cast("long")).alias("y")
