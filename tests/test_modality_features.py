@@ -72,7 +72,15 @@ def test_projection_forms_agree_and_keep_null(spark):
     want = {0: [2.0, 5.0, -6.0], 2: [0.5, 0.5, 0.0]}
     got = {r["k"]: r["projected"] for r in features.project(df, "v", weights, ["k"]).collect()}
     assert got == {**want, 1: None}
-    assert {r["k"]: r["projected"] for r in features.project_relational(df, "v", weights, ["k"]).collect()} == want
+    for size in (1, 16, 40):
+        sliced = features.project(df, "v", weights, ["k"], slice_bytes=size)
+        assert {r["k"]: r["projected"] for r in sliced.collect()} == {**want, 1: None}
+        plan = sliced._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    doubled = df.union(df)
+    assert features.project(doubled, "v", weights, ["k"], slice_bytes=1).count() == 6
+    none = features.project(df, "v", weights.limit(0), ["k"])
+    assert {r["k"]: r["projected"] for r in none.collect()} == {0: [], 1: None, 2: []}
 
 
 def test_weights_do_not_depend_on_partitions(spark):

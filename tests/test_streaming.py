@@ -42,3 +42,22 @@ def test_closed_windows(spark, tmp_path):
     # The last row is at 04:59, so the watermark is at 04:29.
     assert [r["n"] for r in rows] == [60] * 4
     assert rows[1]["sum_value"] == sum(range(60, 120))
+
+
+def test_a_restart_goes_on_where_it_stopped(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.createDataFrame([(i, "k", "a" * i) for i in range(40)], "doc_id bigint, source string, text string")
+
+    def run():
+        live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        live = live.select("source", "doc_id", I.byte_chars("text").alias("input_ids"))
+        return run_to_parquet(pack_stream(live, "source", 16, lanes=1), "t", out).collect()
+
+    df.where("doc_id < 20").coalesce(1).write.parquet(path)
+    first = run()
+    df.where("doc_id >= 20").coalesce(1).write.mode("append").parquet(path)
+    assert run() != first
+    blocks = run()
+    assert sorted(r.block_no for r in blocks) == list(range(sum(i + 1 for i in range(40)) // 16))
+    counts = "".join(r.input_ids for r in blocks).count(I.END_CHAR)
+    assert 38 <= counts <= 40

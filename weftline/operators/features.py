@@ -11,8 +11,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from .ordering import with_offsets
-from .vocabulary import fits_broadcast
+from ..session import cut_lineage
+from .ordering import with_offsets, with_ordinal
+from .vocabulary import BROADCAST_BYTES, int32_offsets
 
 
 def stack_frames(
@@ -78,46 +79,48 @@ def mean_pool(frames: DataFrame, key: Sequence[str], vec: str) -> DataFrame:
 
 
 def project(
-    df: DataFrame, vec: str, weights: DataFrame, key: Sequence[str], out: str = "projected"
+    df: DataFrame,
+    vec: str,
+    weights: DataFrame,
+    key: Sequence[str],
+    out: str = "projected",
+    slice_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``key, <out>``: ``W x`` without bias; ``weights`` has rows ``out_dim, w``.
 
-    A matrix that passes the size check goes to every task and whole Arrow batches
-    are multiplied; a larger one is joined by input dimension.
+    The matrix goes to the tasks in slices of at most ``slice_bytes`` (one row at
+    least), and whole Arrow batches are multiplied, so no vector is taken apart or
+    shuffled. One row per row of ``df``; a NULL vector stays NULL.
     """
-    if fits_broadcast(weights, F.size("w") * 8):
-        rows = weights.orderBy("out_dim").select("w").toArrow()["w"].combine_chunks()
-        matrix = np.asarray(rows.flatten(), dtype=np.float64).reshape(len(rows), -1)
-        shared = df.sparkSession.sparkContext.broadcast(matrix)
-
-        @F.arrow_udf("array<double>")
-        def multiply(column: pa.Array) -> pa.Array:
-            w = shared.value
-            given = np.asarray(column.drop_null().flatten(), dtype=np.float64).reshape(-1, w.shape[1])
-            values = pa.array((given @ w.T).ravel())
-            present = np.asarray(column.is_valid())
-            offsets = np.concatenate([[0], np.cumsum(present * len(w))]).astype(np.int32)
-            return pa.ListArray.from_arrays(
-                pa.array(offsets), values, mask=pa.array(~present)
-            )
-
-        return df.select(*key, multiply(F.col(vec)).alias(out))
-    return project_relational(df, vec, weights, key, out)
-
-
-def project_relational(
-    df: DataFrame, vec: str, weights: DataFrame, key: Sequence[str], out: str = "projected"
-) -> DataFrame:
-    """The projection as a join on the input dimension; the key must be unique."""
-    x = df.select(*key, F.posexplode(vec).alias("_d", "_x"))
-    w = weights.select("out_dim", F.posexplode("w").alias("_d", "_w"))
-    terms = (
-        x.join(w, "_d")
-        .groupBy(*key, "out_dim")
-        .agg(F.sum(F.col("_x").cast("double") * F.col("_w").cast("double")).alias("_y"))
-    )
-    rows = F.sort_array(F.collect_list(F.struct("out_dim", "_y")))
-    return terms.groupBy(*key).agg(rows.alias("_rows")).select(*key, F.col("_rows._y").alias(out))
+    rows = cut_lineage(weights.select("out_dim", "w"), "weights")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("w")).alias("width")).first()
+    if not size["n"]:
+        empty = F.when(F.col(vec).isNotNull(), F.array().cast("array<double>"))
+        return df.select(*key, empty.alias(out))
+    step = max(1, slice_bytes // (8 * max(size["width"], 1)))
+    ordered = with_ordinal(rows, ["out_dim"], "_row", staged=True)
+    parts = []
+    for first in range(0, size["n"], step):
+        part = ordered.where((F.col("_row") >= first) & (F.col("_row") < first + step)).orderBy("_row")
+        listed = part.select("w").toArrow()["w"].combine_chunks()
+        matrix = np.asarray(listed.flatten(), dtype=np.float64).reshape(len(listed), -1)
+        parts.append(_product(df.sparkSession.sparkContext.broadcast(matrix), F.col(vec)))
+    return df.select(*key, (F.concat(*parts) if len(parts) > 1 else parts[0]).alias(out))
+
+
+def _product(shared, vec: Column) -> Column:
+    """One slice of the matrix times the vector."""
+
+    @F.arrow_udf("array<double>")
+    def multiply(column: pa.Array) -> pa.Array:
+        w = shared.value
+        given = np.asarray(column.drop_null().flatten(), dtype=np.float64).reshape(-1, w.shape[1])
+        values = pa.array((given @ w.T).ravel())
+        present = np.asarray(column.is_valid())
+        offsets = int32_offsets(np.concatenate([[0], np.cumsum(present * len(w), dtype=np.int64)]))
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(~present))
+
+    return multiply(vec)
 
 
 def encode_features(

@@ -31,9 +31,20 @@ def to_batches(
     With ``same_size`` the arrays of one batch must have one length, or it is an
     error. The last batch may be short. A batch holds at most ``batch_size`` rows.
     """
+    return collate(with_ordinal(df, order, "_ord"), F.col("_ord"), cols, batch_size, same_size)
+
+
+def collate(
+    df: DataFrame, ordinal: Column, cols: Sequence[str], batch_size: int = 1, same_size: bool = True
+) -> DataFrame:
+    """``to_batches`` for rows that have a dense ordinal from 0."""
     rows = F.sort_array(F.collect_list(F.struct("row_no", *cols)))
+    place = ordinal.cast("bigint")
+    size = F.lit(int(batch_size))
     batches = (
-        with_batch(df, order, batch_size)
+        df.withColumns(
+            {"batch_id": F.floor(place / size).cast("bigint"), "row_no": F.pmod(place, size).cast("int")}
+        )
         .groupBy("batch_id")
         .agg(rows.alias("_rows"))
         .select(
@@ -56,16 +67,20 @@ def to_batches(
     return batches.select("batch_id", "n_rows", *[rectangular(c) for c in cols])
 
 
-def shard_batches(df: DataFrame, world_size: int, even: bool = False) -> DataFrame:
+def shard_batches(
+    df: DataFrame, world_size: int, even: bool = False, n_batches: int | None = None
+) -> DataFrame:
     """Add ``rank`` and ``local_step`` to rows with a dense ``batch_id``.
 
     With ``even`` the first batches are repeated at the end until every rank has
-    the same number of steps.
+    the same number of steps. ``n_batches`` saves a pass over ``df`` to count them.
     """
     w = int(world_size)
     if even:
-        n = df.agg(F.max("batch_id")).first()[0]
-        n = 0 if n is None else n + 1
+        n = n_batches
+        if n is None:
+            last = df.agg(F.max("batch_id")).first()[0]
+            n = 0 if last is None else last + 1
         total = -(-n // w) * w
         if total > n:
             rounds = F.sequence(F.lit(0).cast("bigint"), F.expr(f"({total - 1} - batch_id) div {n}"))
@@ -118,19 +133,22 @@ def skip_first_batches(df: DataFrame, n: int) -> DataFrame:
     return df.where(F.col("batch_id") >= n)
 
 
-def at_cadence(
-    df: DataFrame, every: int, stop: int | None = None, step: str = "step", include_zero: bool = True
-) -> DataFrame:
-    """Rows where the step is a multiple of ``every`` and below ``stop``.
+def on_cadence(step: str, every: int, stop: int | None = None, include_zero: bool = True) -> Column:
+    """True where the step is a multiple of ``every`` and below ``stop``.
 
     Log lines start at step 0; checkpoints do not (``include_zero=False``).
     """
     keep = F.col(step) % every == 0
     if stop is not None:
         keep = keep & (F.col(step) < stop)
-    if not include_zero:
-        keep = keep & (F.col(step) > 0)
-    return df.where(keep)
+    return keep if include_zero else keep & (F.col(step) > 0)
+
+
+def at_cadence(
+    df: DataFrame, every: int, stop: int | None = None, step: str = "step", include_zero: bool = True
+) -> DataFrame:
+    """Rows whose step is ``on_cadence``."""
+    return df.where(on_cadence(step, every, stop, include_zero))
 
 
 def accumulate(df: DataFrame, every: int, step: str = "step", value: str = "loss", by: Sequence[str] = ()) -> DataFrame:

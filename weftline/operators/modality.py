@@ -71,14 +71,21 @@ def route(
 def route_tables(
     df: DataFrame, handlers: Mapping[str, Callable[[DataFrame], DataFrame]], modality: str = "modality"
 ) -> DataFrame:
-    """Like ``route`` for handlers that work on whole tables; results are united."""
+    """Like ``route`` for handlers that work on whole tables; results are united.
+
+    Rows that no handler takes stay: columns that the handlers make are NULL there.
+    """
     out: DataFrame | None = None
     for name, handler in handlers.items():
         part = handler(df.where(F.col(modality) == name))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no handlers")
-    return out
+    other = df.where(~F.coalesce(F.col(modality).isin(list(handlers)), F.lit(False)))
+    nulls = [
+        F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema
+    ]
+    return out.unionByName(other.select(*nulls))
 
 
 def process_any(

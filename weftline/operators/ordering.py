@@ -124,7 +124,9 @@ def with_offsets(
     per range, at most ``MAX_RANGES`` times.
     """
     order = list(order)
-    sized = df.withColumn("_len", F.lit(1).cast("bigint") if length is None else length.cast("bigint"))
+    # A row without a length takes no place, whatever else lies in its range.
+    size = F.lit(1) if length is None else F.coalesce(length, F.lit(0))
+    sized = df.withColumn("_len", size.cast("bigint"))
     keys = sized.select(*order, "_len")
     keys = keys if staged else cut_lineage(keys, "keys")
     bounds = _bounds(keys, order, ranges)

@@ -31,7 +31,13 @@ def latency(
     wide = spots.groupBy(*by).agg(
         *[F.max(F.when(F.col("q") == float(q), F.col("quantile"))).alias(f"p{round(q * 100)}_s") for q in qs]
     )
-    return stats.join(wide, list(by), "left")
+    # A group may be NULL.
+    names = {c: f"_of_{c}" for c in by}
+    wide = wide.withColumnsRenamed(names)
+    same = F.lit(True)
+    for c, other in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(other))
+    return stats.join(wide, same, "left").drop(*names.values())
 
 
 def throughput(df: DataFrame, ts: str, by: Sequence[str]) -> DataFrame:

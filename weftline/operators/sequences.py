@@ -11,13 +11,20 @@ from .packing import pack_by_key
 
 
 def length_budget(
-    df: DataFrame, ids: str = "input_ids", ctx: int = 2048, slots: int = 64, markers: int = 2
+    df: DataFrame,
+    ids: str = "input_ids",
+    ctx: int = 2048,
+    slots: int = 64,
+    markers: int = 2,
+    length: Column | None = None,
 ) -> DataFrame:
-    """Add ``n_ids``, ``total_len`` (with markers and feature slots) and ``fits``."""
-    total = F.size(ids) + F.lit(slots + markers)
-    return df.withColumns(
-        {"n_ids": F.size(ids), "total_len": total, "fits": total <= F.lit(ctx)}
-    )
+    """Add ``n_ids``, ``total_len`` (with markers and feature slots) and ``fits``.
+
+    ``length`` gives the number of ids where they are not built yet.
+    """
+    n_ids = (F.size(ids) if length is None else length).cast("int")
+    total = n_ids + F.lit(slots + markers)
+    return df.withColumns({"n_ids": n_ids, "total_len": total, "fits": total <= F.lit(ctx)})
 
 
 def batch_longest(df: DataFrame, batch_col: str, length: Column, out: str = "longest") -> DataFrame:

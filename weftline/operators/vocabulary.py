@@ -16,6 +16,13 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
 
+def int32_offsets(offsets: np.ndarray) -> np.ndarray:
+    """Offsets of an Arrow list, or an error where 32 bits do not hold them."""
+    if len(offsets) and offsets[-1] > np.iinfo(np.int32).max:
+        raise ValueError("an Arrow batch has more than 2^31 - 1 values; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    return offsets.astype(np.int32)
+
+
 def tokenize_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per word: ``key, pos, token``; ``pos`` counts from 0."""
     return df.select(key, F.posexplode(words(text)).alias("pos", "token"))
@@ -52,10 +59,10 @@ def encode_tokens(tokens: DataFrame, vocab: DataFrame, unk: int = UNK) -> DataFr
     return found.withColumn("id", F.coalesce("id", F.lit(unk))).drop("count")
 
 
-def gather_ids(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, input_ids``: the ids of each document in order."""
-    rows = F.sort_array(F.collect_list(F.struct("pos", "id")))
-    return encoded.groupBy(key).agg(rows.alias("_rows")).select(key, F.col("_rows.id").alias("input_ids"))
+def gather_ids(encoded: DataFrame, *keys: str) -> DataFrame:
+    """``keys, input_ids``: the ids of each document in order; a place given twice counts once."""
+    rows = F.sort_array(F.collect_set(F.struct("pos", "id")))
+    return encoded.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.col("_rows.id").alias("input_ids"))
 
 
 def fits_broadcast(table: DataFrame, size: Column) -> bool:
@@ -71,14 +78,12 @@ def encode(
 
     A vocabulary that passes the size check goes to every task and whole Arrow
     batches are looked up in place, so no token is shuffled. A larger one is joined.
+    Both give one row per row of ``df``: a NULL text has NULL ids, one without words
+    none, and rows that share a key keep their own ids.
     """
     vocab = cut_lineage(vocab, "vocab")
     if not fits_broadcast(vocab, F.octet_length("token")):
-        empty = df.select(key, F.array().cast("array<int>").alias("_none"))
-        found = gather_ids(encode_tokens(tokenize_words(df, key, text), vocab, unk), key)
-        return empty.join(found, key, "left").select(
-            key, F.coalesce("input_ids", "_none").alias("input_ids")
-        )
+        return _encode_joined(df, vocab, key, text, unk)
     listed = vocab.select("token", "id").toArrow()
     entries = df.sparkSession.sparkContext.broadcast(
         (listed["token"].combine_chunks(), listed["id"].combine_chunks())
@@ -89,7 +94,7 @@ def encode(
         tokens, ids = entries.value
         found = pc.take(ids, pc.index_in(column.flatten(), value_set=tokens))
         sizes = pc.fill_null(pc.list_value_length(column), 0)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        offsets = int32_offsets(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
         missing = pa.array(np.asarray(column.is_null()))
         ids = pc.fill_null(found, unk).cast(pa.int32())
         return pa.ListArray.from_arrays(pa.array(offsets), ids, mask=missing)
@@ -97,6 +102,23 @@ def encode(
     return df.select(key, look_up(words(text)).alias("input_ids"))
 
 
+def _encode_joined(df: DataFrame, vocab: DataFrame, key: str, text: str, unk: int) -> DataFrame:
+    """``encode`` for any size of vocabulary.
+
+    A row is known by its key and a digest of its text: rows equal in both have equal
+    ids, so it does not matter that their words meet.
+    """
+    rows = df.select(F.col(key).alias("_key"), F.sha2(text, 256).alias("_digest"), F.col(text).alias("_text"))
+    tokens = rows.select("_key", "_digest", F.posexplode(words("_text")).alias("pos", "token"))
+    found = gather_ids(encode_tokens(tokens, vocab, unk), "_key", "_digest").withColumnRenamed("_key", "_found")
+    rows = rows.select("_key", "_digest")
+    same = rows["_key"].eqNullSafe(found["_found"]) & (rows["_digest"] == found["_digest"])
+    none = F.when(rows["_digest"].isNotNull(), F.array().cast("array<int>"))
+    return rows.join(found, same, "left").select(
+        rows["_key"].alias(key), F.coalesce(found["input_ids"], none).alias("input_ids")
+    )
+
+
 def lookup_embeddings(
     ids: DataFrame,
     table: DataFrame,

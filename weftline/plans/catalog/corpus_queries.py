@@ -149,10 +149,10 @@ def run_log_scan(spark, sf_dir):
     FROM b GROUP BY ALL""",
 )
 def length_budget(spark, sf_dir):
-    ids = I.add_bos(I.append_eos(I.byte_ids("text")))
-    df = table(spark, sf_dir, "documents").select("lang", ids.alias("input_ids"))
+    # Bytes, begin and end mark; the ids themselves are not needed.
+    df = table(spark, sf_dir, "documents").select("lang", "text")
     return (
-        sequences.length_budget(df)
+        sequences.length_budget(df, length=I.byte_count("text") + 2)
         .groupBy("lang", "fits")
         .agg(
             F.count(F.lit(1)).alias("n_docs"),
@@ -167,7 +167,7 @@ def length_budget(spark, sf_dir):
     f"""SELECT doc_id, lang, source, n_chars, {"len(" + sql_bytes("text") + ")"}::INT AS n_ids FROM documents""",
 )
 def drop_consumed(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").withColumn("n_ids", F.size(I.byte_ids("text")))
+    df = table(spark, sf_dir, "documents").withColumn("n_ids", I.byte_count("text").cast("int"))
     return df.drop("text")
 
 
@@ -226,8 +226,5 @@ def log_cadence(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("step"), F.col("value").alias("loss")
     )
-    logged = loader.at_cadence(log, 100, 9000)
-    saved = loader.at_cadence(log, 1000, include_zero=False).select("step", F.lit(True).alias("_saved"))
-    return logged.join(saved, "step", "left").select(
-        "step", "loss", F.col("_saved").isNotNull().alias("checkpoints")
-    )
+    saved = loader.on_cadence("step", 1000, include_zero=False)
+    return loader.at_cadence(log, 100, 9000).select("step", "loss", saved.alias("checkpoints"))

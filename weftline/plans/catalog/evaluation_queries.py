@@ -223,13 +223,19 @@ def attention_cost(spark, sf_dir):
     # A batch is padded to its longest row.
     padded = batches.groupBy("batch_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
     padded = padded.select("n", F.explode(F.array_repeat(F.lit(0), F.col("k").cast("int"))))
-    packed = corpus_blocks(docs, 2048, None).select(F.size("input_ids").cast("bigint").alias("n"))
-    rows = (
-        single.select(F.lit("single").alias("layout"), "n")
-        .unionByName(padded.select(F.lit("padded").alias("layout"), "n"))
-        .unionByName(packed.select(F.lit("packed").alias("layout"), "n"))
+    rows = single.select(F.lit("single").alias("layout"), "n").unionByName(
+        padded.select(F.lit("padded").alias("layout"), "n")
     )
-    out = run_metrics.cost_report(rows, ["layout"], "n")
+    # Packing gives full blocks alone, as many as the sum of the lengths says.
+    total = single.agg(F.expr("sum(n) div 2048").alias("blocks"))
+    size = F.lit(2048).cast("bigint")
+    packed = total.where("blocks > 0").select(
+        F.lit("packed").alias("layout"),
+        F.col("blocks").alias("n_sequences"),
+        (F.col("blocks") * size).alias("n_ids"),
+        (F.col("blocks") * run_metrics.attention_flops(size)).alias("flops"),
+    )
+    out = run_metrics.cost_report(rows, ["layout"], "n").unionByName(packed)
     return out.select("layout", "n_sequences", "n_ids", F.round(F.col("flops") / 1e9, 3).alias("gflops"))
 
 

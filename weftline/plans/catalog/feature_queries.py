@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ...functions import vectors as V
@@ -156,7 +158,8 @@ def _projected(run):
 
 
 query("project_features", _PROJECTED)(_projected(features.project))
-query("project_features_join", _PROJECTED)(_projected(features.project_relational))
+# A matrix beyond the size check: a kilobyte per slice.
+query("project_features_join", _PROJECTED)(_projected(partial(features.project, slice_bytes=1024)))
 
 
 @query(

@@ -8,7 +8,7 @@ from ...functions import ids as I
 from ...operators import loader, packing
 from ...operators.ordering import with_ordinal
 from ...session import scratch_path
-from ..corpus import byte_length, corpus_blocks
+from ..corpus import byte_length, corpus_blocks, corpus_to_ranks
 from .registry import query, sql_bytes, sql_digest, table
 
 BLOCK = 2048
@@ -72,6 +72,52 @@ def pack_global(spark, sf_dir):
     )
 
 
+# Documents without a text have the end mark alone.
+@query(
+    "pack_null_text",
+    f"""WITH d AS (SELECT list_append({sql_bytes("coalesce(t, '')")}, 2) AS ids, doc_id
+        FROM (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN text END AS t FROM documents)),
+      t AS (SELECT unnest(ids) AS id, doc_id, generate_subscripts(ids, 1) AS k FROM d),
+      q AS (SELECT id, row_number() OVER (ORDER BY doc_id, k) - 1 AS place, count(*) OVER () AS total FROM t)
+    SELECT place // {BLOCK} AS block_no, count(*)::INT AS n_ids, md5(string_agg(id, ',' ORDER BY place)) AS digest
+    FROM q WHERE place < total // {BLOCK} * {BLOCK} GROUP BY ALL""",
+)
+def pack_null_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", F.when(F.col("doc_id") % 13 != 0, F.col("text")).alias("text"))
+    blocks = corpus_blocks(docs, BLOCK, None)
+    return blocks.select("block_no", F.size("input_ids").alias("n_ids"), I.checksum("input_ids").alias("digest"))
+
+
+RANKS, RANK_BATCH = 4, 3
+
+
+def _ranks_sql(even: bool) -> str:
+    total = f"ceil(n / {RANKS}.0)::BIGINT * {RANKS}" if even else "n"
+    return f"""WITH d AS (SELECT doc_id, list_append({sql_bytes("text")}, 2) AS ids FROM documents),
+      t AS (SELECT unnest(ids) AS id, doc_id, generate_subscripts(ids, 1) AS k FROM d),
+      q AS (SELECT id, row_number() OVER (ORDER BY doc_id, k) - 1 AS place, count(*) OVER () AS total FROM t),
+      b AS (SELECT place // {BLOCK} AS block_no, md5(string_agg(id, ',' ORDER BY place)) AS digest
+        FROM q WHERE place < total // {BLOCK} * {BLOCK} GROUP BY ALL),
+      n AS (SELECT max(block_no) // {RANK_BATCH} + 1 AS n FROM b),
+      r AS (SELECT unnest(range({total})) AS batch, n FROM n)
+    SELECT (batch % {RANKS})::INT AS rank, batch // {RANKS} AS local_step, (block_no % {RANK_BATCH})::INT AS row_no, digest
+    FROM r JOIN b ON block_no // {RANK_BATCH} = batch % n"""
+
+
+def _ranks(even: bool):
+    def query_fn(spark, sf_dir):
+        out = corpus_to_ranks(table(spark, sf_dir, "documents"), RANKS, RANK_BATCH, BLOCK, even)
+        rows = out.select("rank", "local_step", F.posexplode("input_ids").alias("row_no", "ids"))
+        return rows.select("rank", "local_step", "row_no", I.checksum("ids").alias("digest"))
+
+    return query_fn
+
+
+query("corpus_to_ranks", _ranks_sql(False))(_ranks(False))
+query("corpus_to_ranks_even", _ranks_sql(True))(_ranks(True))
+
+
 @query(
     "pack_by_source",
     f"""WITH d AS (SELECT source, doc_id, list_append({sql_bytes("text")}, 2) AS ids FROM documents),

@@ -31,6 +31,7 @@ def _files(spark, sf_dir):
     )
     return table(spark, sf_dir, "documents").select(
         "doc_id",
+        "lang",
         derived_path().alias("path"),
         F.concat(F.unhex(head), F.encode("text", "UTF-8")).alias("content"),
     )
@@ -72,8 +73,7 @@ def modality_by_content(spark, sf_dir):
 def modality_dispatch(spark, sf_dir):
     methods = F.array(*[F.lit(m) for m in ("file_extension", "content_based", "user_input", "guess")])
     method = F.element_at(methods, (F.expr("doc_id div 10") % 4 + 1).cast("int"))
-    langs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    files = _files(spark, sf_dir).join(langs, "doc_id").withColumn("method", method)
+    files = _files(spark, sf_dir).withColumn("method", method)
     found = paths.detect_modality(F.col("method"), F.col("path"), F.col("content"), F.col("lang"))
     return files.select("doc_id", "method", found.alias("modality"))
 
@@ -149,8 +149,8 @@ def routed_rows(spark, sf_dir):
     "routed_union",
     f"""WITH f AS (SELECT doc_id, n_chars, {SQL_PATH} AS path FROM documents),
       m AS (SELECT doc_id, n_chars, {SQL_MODALITY} AS modality FROM f)
-    SELECT modality, count(*) AS n, sum(CASE modality WHEN 'audio' THEN n_chars * 2 WHEN 'video' THEN n_chars * 3 ELSE n_chars END)::BIGINT
-      AS cost FROM m WHERE modality IN ('text', 'audio', 'video') GROUP BY modality""",
+    SELECT modality, count(*) AS n, sum(CASE modality WHEN 'audio' THEN n_chars * 2 WHEN 'video' THEN n_chars * 3 WHEN 'text' THEN n_chars END)::BIGINT
+      AS cost FROM m GROUP BY modality""",
 )
 def routed_union(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", "n_chars", derived_path().alias("path"))

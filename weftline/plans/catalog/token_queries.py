@@ -88,6 +88,16 @@ SELECT d.doc_id, coalesce(len(ids), 0)::INT AS n_ids, coalesce(len(list_filter(i
 FROM documents d LEFT JOIN coded USING (doc_id)"""
 
 
+# A document without a text has no ids at all, one without words none.
+_ENCODED_NULL = _ENCODED.replace(
+    "SELECT d.doc_id, coalesce(len(ids), 0)::INT AS n_ids, coalesce(len(list_filter(ids, lambda x: x = 3)), 0)::INT AS n_unk,\n"
+    "  md5(coalesce(array_to_string(ids, ','), '')) AS digest\n",
+    "SELECT d.doc_id, CASE WHEN d.doc_id % 13 <> 0 THEN coalesce(len(ids), 0) END::INT AS n_ids,\n"
+    "  CASE WHEN d.doc_id % 13 <> 0 THEN coalesce(len(list_filter(ids, lambda x: x = 3)), 0) END::INT AS n_unk,\n"
+    "  CASE WHEN d.doc_id % 13 <> 0 THEN md5(coalesce(array_to_string(ids, ','), '')) END AS digest\n",
+)
+
+
 def _summary(encoded):
     return encoded.select(
         "doc_id",
@@ -104,6 +114,14 @@ def vocab_encode(spark, sf_dir):
     return _summary(vocabulary.encode(docs, vocab))
 
 
+@query("vocab_encode_null", _ENCODED_NULL)
+def vocab_encode_null(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    vocab = vocabulary.build_vocab(vocabulary.count_words(docs), VOCAB_SIZE)
+    some = docs.select("doc_id", F.when(F.col("doc_id") % 13 != 0, F.col("text")).alias("text"))
+    return _summary(vocabulary.encode(some, vocab))
+
+
 @query(
     "vocab_encode_join",
     f"""WITH {_COUNTS}, vocab AS ({_RANKED}), t AS (SELECT doc_id, unnest({sql_words("text")}) AS token FROM documents)

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ids as I
-from ..operators.loader import shard_batches, to_batches
+from ..operators.loader import collate, shard_batches
 from ..operators.packing import pack_batches, pack_global
 
 
 def byte_length(text: str = "text") -> Column:
-    """Ids of a document: its bytes and the end mark."""
-    return I.byte_count(text) + 1
+    """Ids of a document: its bytes and the end mark; a NULL text has the end mark alone."""
+    return F.coalesce(I.byte_count(text), F.lit(0)) + 1
 
 
 def corpus_blocks(
@@ -29,7 +29,7 @@ def corpus_blocks(
     of text, exist only in the finished blocks.
     """
     slim = corpus.select(*order, text)
-    build = {"_chars": I.byte_chars(text)}
+    build = {"_chars": I.byte_chars(F.coalesce(text, F.lit("")))}
     if batch_rows is None:
         blocks = pack_global(slim, ["_chars"], block_size, order, byte_length(text), build, chars=True)
     else:
@@ -45,7 +45,15 @@ def corpus_blocks(
 def corpus_to_ranks(
     corpus: DataFrame, world_size: int, batch_size: int = 1, block_size: int = 8192, even: bool = False
 ) -> DataFrame:
-    """Rank shards of loader batches over full blocks."""
+    """Rank shards of loader batches over full blocks.
+
+    ``block_no`` is dense already, so a batch is a division away and the corpus is
+    packed once; how many batches there are follows from the lengths of the texts.
+    """
     blocks = corpus_blocks(corpus, block_size, None)
-    batches = to_batches(blocks, ["block_no"], ["input_ids", "attention_mask"], batch_size)
-    return shard_batches(batches, world_size, even)
+    n_batches = None
+    if even:
+        n_ids = corpus.agg(F.sum(byte_length())).first()[0] or 0
+        n_batches = -(-(n_ids // int(block_size)) // int(batch_size))
+    batches = collate(blocks, F.col("block_no"), ["input_ids", "attention_mask"], batch_size)
+    return shard_batches(batches, world_size, even, n_batches)

@@ -13,7 +13,11 @@ def encode_stream(
     sdf: DataFrame, text: str = "text", max_len: int | None = None, media: Sequence[str] = ()
 ) -> DataFrame:
     """Replace ``text`` by ``input_ids`` and ``attention_mask``; works on batches too."""
-    ids = I.append_eos(I.byte_ids(text))
+    source = F.col(text)
+    if max_len is not None:
+        # A character has one byte at least, so what is cut off here could not stay.
+        source = F.substring(source, 1, max_len)
+    ids = I.append_eos(I.byte_ids(source))
     if max_len is not None:
         ids = I.truncate(I.add_bos(ids), max_len)
     if media:

@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame
 from ..session import scratch_path
 
 
-def run_to_parquet(sdf: DataFrame, name: str) -> DataFrame:
-    """Process all available input in append mode into a new parquet table.
+def run_to_parquet(sdf: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Process all available input in append mode into a parquet table.
 
-    Results and progress go to the shared folder, so a restarted query goes on where
-    it stopped.
+    Results go to ``path`` and progress beside it: called again with the same path, the
+    query goes on where it stopped and adds what is new. Without a path the table is a new one
+    in the shared folder.
     """
     spark = sdf.sparkSession
-    out = scratch_path(spark, name)
+    out = scratch_path(spark, name) if path is None else path
     query = (
         sdf.writeStream.format("parquet")
         .option("checkpointLocation", f"{out}-progress")
