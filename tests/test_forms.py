@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 import pytest
 from weftline.functions import ids as I
-from weftline.operators import loader, modality, packing, run_metrics, vocabulary
+from weftline.operators import bpe, loader, modality, packing, run_metrics, vocabulary
 from weftline.operators.ordering import with_offsets
-from weftline.plans.corpus import byte_length, corpus_blocks, corpus_to_ranks
+from weftline.plans.corpus import byte_length, corpus_blocks, corpus_to_ranks, encoded_blocks
 
 TEXTS = [(1, "a b a"), (1, "b c"), (1, "a b a"), (2, None), (3, ""), (4, "..."), (None, "c c"), (None, None), (5, "zz")]
 
@@ -21,6 +21,30 @@ def test_encode_forms_agree(spark, monkeypatch, rows):
     assert sorted(map(repr, ((r.doc_id, r.input_ids) for r in got))) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_bpe_id_forms_agree(spark, monkeypatch, rows):
+    monkeypatch.setattr(vocabulary, "BROADCAST_ROWS", rows)
+    df = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    counts = spark.createDataFrame([("a", 5), ("bab", 4), ("b", 3), ("c", 3)], "token string, count long")
+    merges = spark.createDataFrame([(0, "b", "a", 4), (1, "ba", "b", 4)], "rank int, left string, right string, count long")
+    vocab = {r.symbol: r.id for r in bpe.symbol_vocab(counts, merges).collect()}
+    assert vocab == {"b": 12, "a": 13, "c": 14, "ba": 15, "bab": 16}
+    got = bpe.encode_bpe_ids(df, counts, merges).collect()
+    want = [(1, [13, 12, 13]), (1, [12, 14]), (1, [13, 12, 13]), (2, None), (3, []), (4, []), (None, [14, 14]), (None, None), (5, [])]
+    assert sorted(map(repr, ((r.doc_id, r.input_ids) for r in got))) == sorted(map(repr, want))
+    more = spark.createDataFrame([(1, "bab c bab")], "doc_id long, text string")
+    assert bpe.encode_bpe_ids(more, counts, merges).first().input_ids == [16, 14, 16]
+
+
+def test_encoded_documents_are_packed_with_their_mask(spark):
+    rows = [(0, [20, 21, 22]), (1, None), (2, []), (3, [23] * 9), (4, [24])]
+    df = spark.createDataFrame(rows, "doc_id long, input_ids array<int>")
+    ids = [x for _, own in rows for x in [*(own or []), I.EOS]]
+    got = encoded_blocks(df, 4, None).orderBy("block_no").collect()
+    assert [r.input_ids for r in got] == [ids[i : i + 4] for i in range(0, len(ids) // 4 * 4, 4)]
+    assert all(r.attention_mask == [1] * 4 for r in got)
+
+
 def expected_blocks(texts, size, keep_tail):
     ids = [x for t in texts for x in [*(b + 12 for b in (t or "").encode()), I.EOS]]
     blocks = [ids[i : i + size] for i in range(0, len(ids), size)]

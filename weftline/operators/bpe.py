@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.ids import FIRST_PAYLOAD_ID, UNK
 from ..session import cut_lineage
+from .vocabulary import encode_lists, int32_offsets
 
 # A word is kept as one string with every symbol between these two characters, so
 # a merge is one string replacement and works from left to right.
 OPEN, CLOSE = "\u0002", "\u0003"
 
+CACHE = 200_000
+
 MERGES_PER_ROUND = 64
 ROUNDS_PER_STAGE = 12
 
@@ -110,45 +116,106 @@ def train_bpe(counts: DataFrame, n_merges: int) -> DataFrame:
     )
 
 
+def _split(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
+    """The symbols of one word after all merges, lowest rank first."""
+    parts = list(word)
+    while len(parts) > 1:
+        best = min(zip(parts, parts[1:]), key=lambda p: rank.get(p, len(rank)))
+        if best not in rank:
+            break
+        joined, i = [], 0
+        while i < len(parts):
+            if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
+                joined.append(parts[i] + parts[i + 1])
+                i += 2
+            else:
+                joined.append(parts[i])
+                i += 1
+        parts = joined
+    return parts
+
+
+def split_words(counts: DataFrame, merges: DataFrame) -> DataFrame:
+    """``token, count, symbols``: every distinct word of the corpus is merged once.
+
+    The merge list is a trained model, as long as the user asked for, and goes to every task.
+    """
+    listed = merges.select("rank", "left", "right").collect()
+    ranks = counts.sparkSession.sparkContext.broadcast({(r["left"], r["right"]): r["rank"] for r in listed})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols = [_split(word, ranks.value) for word in batch.column("token").to_pylist()]
+            yield pa.record_batch(
+                {"token": batch.column("token"), "count": batch.column("count"), "symbols": pa.array(symbols, pa.list_(pa.string()))}
+            )
+
+    return counts.select("token", "count").mapInArrow(run, "token string, count bigint, symbols array<string>")
+
+
+def symbol_vocab(counts: DataFrame, merges: DataFrame) -> DataFrame:
+    """``symbol, id`` from 12 on: characters by frequency, ties by character, then merges by rank.
+
+    A symbol that several merges make has the id of the first. The table has at most as many
+    rows as there are characters, and merges.
+    """
+    chars = counts.select(F.explode(F.split("token", "")).alias("symbol"), "count").groupBy("symbol").agg(F.sum("count").alias("n"))
+    first = F.struct(F.lit(0).alias("kind"), (-F.col("n")).alias("place"), F.col("symbol").alias("tie"))
+    made = merges.select(
+        F.concat("left", "right").alias("symbol"),
+        F.struct(F.lit(1).alias("kind"), F.col("rank").cast("bigint").alias("place"), F.lit("").alias("tie")).alias("by"),
+    )
+    every = chars.select("symbol", first.alias("by")).unionByName(made).groupBy("symbol").agg(F.min("by").alias("by"))
+    rank = F.row_number().over(Window.orderBy("by")) - 1
+    return every.select("symbol", (rank + FIRST_PAYLOAD_ID).cast("int").alias("id"))
+
+
+def word_ids(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``token, count, ids`` of words with their symbols; an unknown symbol is ``<unk>``."""
+    # As many rows as there are characters and merges.
+    ids = words.sparkSession.sparkContext.broadcast({r["symbol"]: r["id"] for r in vocab.collect()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = ids.value
+            coded = [[known.get(s, UNK) for s in symbols] for symbols in batch.column("symbols").to_pylist()]
+            yield pa.record_batch(
+                {"token": batch.column("token"), "count": batch.column("count"), "ids": pa.array(coded, pa.list_(pa.int32()))}
+            )
+
+    return words.mapInArrow(run, "token string, count bigint, ids array<int>")
+
+
+def encode_bpe_ids(df: DataFrame, counts: DataFrame, merges: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, input_ids``: the words of each document as the ids of their symbols."""
+    words = word_ids(split_words(counts, merges), symbol_vocab(counts, merges))
+    return encode_lists(df, words, key, text)
+
+
 def encode_bpe(df: DataFrame, words_col: str, merges: DataFrame, out: str = "symbols") -> DataFrame:
     """Add the symbols of all words of a row, in order, as one array.
 
-    The merge list is a trained model of bounded length and goes to every task;
-    within an Arrow batch each distinct word is encoded once. Nothing is shuffled.
+    Nothing is shuffled; a Python worker merges each of the last ``CACHE`` distinct words once.
     """
-    ranks = df.sparkSession.sparkContext.broadcast(
-        {(r["left"], r["right"]): r["rank"] for r in merges.select("rank", "left", "right").collect()}
-    )
+    listed = merges.select("rank", "left", "right").collect()
+    ranks = df.sparkSession.sparkContext.broadcast({(r["left"], r["right"]): r["rank"] for r in listed})
+    known: dict[str, list[str]] = {}
 
     @F.arrow_udf("array<string>")
     def apply_merges(column: pa.Array) -> pa.Array:
-        rank = ranks.value
-
-        def split(word):
-            parts = list(word)
-            while len(parts) > 1:
-                best = min(zip(parts, parts[1:]), key=lambda p: rank.get(p, len(rank)))
-                if best not in rank:
-                    break
-                joined, i = [], 0
-                while i < len(parts):
-                    if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                        joined.append(parts[i] + parts[i + 1])
-                        i += 2
-                    else:
-                        joined.append(parts[i])
-                        i += 1
-                parts = joined
-            return parts
-
         coded = column.flatten().dictionary_encode()
-        known = pa.array([split(w) for w in coded.dictionary.to_pylist()], pa.list_(pa.string()))
-        symbols = known.take(coded.indices)
+        words = coded.dictionary.to_pylist()
+        if len(known) > CACHE:
+            known.clear()
+        for word in words:
+            if word not in known:
+                known[word] = _split(word, ranks.value)
+        symbols = pa.array([known[w] for w in words], pa.list_(pa.string())).take(coded.indices)
         # Symbols before each word, then before each row.
-        by_word = np.concatenate([[0], np.cumsum(pc.list_value_length(symbols))]).astype(np.int32)
+        by_word = np.concatenate([[0], np.cumsum(pc.list_value_length(symbols), dtype=np.int64)])
         n_words = pc.fill_null(pc.list_value_length(column), 0)
-        by_row = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)
+        by_row = np.concatenate([[0], np.cumsum(n_words, dtype=np.int64)])
         missing = pa.array(np.asarray(column.is_null()))
-        return pa.ListArray.from_arrays(pa.array(by_word[by_row]), symbols.flatten(), mask=missing)
+        return pa.ListArray.from_arrays(pa.array(int32_offsets(by_word[by_row])), symbols.flatten(), mask=missing)
 
     return df.withColumn(out, apply_merges(F.col(words_col)))

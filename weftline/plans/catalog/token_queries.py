@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ...functions import ids as I
 from ...functions import paths
 from ...operators import bpe, vocabulary
+from ...session import cut_lineage
+from ..corpus import encoded_blocks
 from .registry import SQL_MODALITY, SQL_PATH, derived_path, documents, query
 from .registry import sql_bytes, sql_digest, sql_words, table
 
@@ -187,6 +189,82 @@ def bpe_encode(spark, sf_dir):
     )
 
 
+# Ids of the symbols: characters by frequency, then merges.
+_BPE_IDS = f"""{_merge_chain(N_MERGES)},
+  chars AS (SELECT c AS symbol, sum(count) AS n FROM (SELECT unnest(string_split(token, '')) AS c, count FROM counts) GROUP BY c),
+  made AS ({" UNION ALL ".join(f"SELECT {i} AS rank, lhs || rhs AS symbol FROM p{i}" for i in range(N_MERGES))}),
+  ids AS (SELECT symbol, (11 + row_number() OVER (ORDER BY kind, place, tie))::INT AS id FROM (
+    SELECT symbol, 0 AS kind, -n AS place, symbol AS tie FROM chars
+    UNION ALL SELECT symbol, 1, min(rank), '' FROM made WHERE symbol NOT IN (SELECT symbol FROM chars) GROUP BY symbol)),
+  words AS (SELECT token, generate_subscripts(x, 1) AS k, unnest(x) AS symbol
+    FROM (SELECT token, string_split(s[2:-2], '><') AS x FROM w{N_MERGES})),
+  word_ids AS (SELECT token, list(id ORDER BY k) AS ids FROM words JOIN ids USING (symbol) GROUP BY token),
+  t AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos
+    FROM (SELECT doc_id, {sql_words("text")} AS w FROM documents)),
+  e AS (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS ids FROM t JOIN word_ids USING (token) GROUP BY doc_id),
+  coded AS (SELECT doc_id, coalesce(ids, []) AS ids FROM documents LEFT JOIN e USING (doc_id))"""
+
+
+def _bpe_coded(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    counts = cut_lineage(vocabulary.count_words(docs), "counts")
+    return bpe.encode_bpe_ids(docs, counts, bpe.train_bpe(counts, N_MERGES))
+
+
+@query(
+    "bpe_ids",
+    f"""WITH {_BPE_IDS} SELECT doc_id, len(ids)::INT AS n_ids, {sql_digest("ids")} AS digest FROM coded""",
+)
+def bpe_ids(spark, sf_dir):
+    coded = _bpe_coded(spark, sf_dir)
+    return coded.select("doc_id", F.size("input_ids").alias("n_ids"), I.checksum("input_ids").alias("digest"))
+
+
+PACK_BLOCK, PACK_ROWS = 1024, 100
+
+
+def _blocks_sql(coded: str) -> str:
+    return f"""{coded},
+      d AS (SELECT doc_id, list_append(ids, 2) AS ids, (row_number() OVER (ORDER BY doc_id) - 1) // {PACK_ROWS} AS batch_id FROM coded),
+      u AS (SELECT batch_id, unnest(ids) AS id, doc_id, generate_subscripts(ids, 1) AS k FROM d),
+      q AS (SELECT batch_id, id, row_number() OVER (PARTITION BY batch_id ORDER BY doc_id, k) - 1 AS place,
+        count(*) OVER (PARTITION BY batch_id) AS total FROM u)
+    SELECT batch_id, place // {PACK_BLOCK} AS block_no, count(*)::INT AS n_ids, count(*)::INT AS mask_ones,
+      md5(string_agg(id, ',' ORDER BY place)) AS digest
+    FROM q WHERE total < {PACK_BLOCK} OR place < total // {PACK_BLOCK} * {PACK_BLOCK} GROUP BY ALL"""
+
+
+def _packed(coded):
+    return encoded_blocks(coded, PACK_BLOCK, PACK_ROWS).select(
+        "batch_id",
+        "block_no",
+        F.size("input_ids").alias("n_ids"),
+        F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x).alias("mask_ones"),
+        I.checksum("input_ids").alias("digest"),
+    )
+
+
+@query("pack_bpe", _blocks_sql(f"WITH {_BPE_IDS}"))
+def pack_bpe(spark, sf_dir):
+    return _packed(_bpe_coded(spark, sf_dir))
+
+
+@query(
+    "pack_vocab",
+    _blocks_sql(
+        f"""WITH {_COUNTS}, vocab AS (SELECT * FROM ({_RANKED}) WHERE id < 12 + {VOCAB_SIZE}),
+      t AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos
+        FROM (SELECT doc_id, {sql_words("text")} AS w FROM documents)),
+      e AS (SELECT doc_id, list(coalesce(id, 3) ORDER BY pos) AS ids FROM t LEFT JOIN vocab USING (token) GROUP BY doc_id),
+      coded AS (SELECT doc_id, coalesce(ids, []) AS ids FROM documents LEFT JOIN e USING (doc_id))"""
+    ),
+)
+def pack_vocab(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    vocab = vocabulary.build_vocab(vocabulary.count_words(docs), VOCAB_SIZE)
+    return _packed(vocabulary.encode(docs, vocab))
+
+
 _NAMES = ", ".join(f"('{name}', {number})" for name, number in I.SPECIAL_IDS.items())
 
 

@@ -42,6 +42,21 @@ def corpus_blocks(
     ).drop("_chars")
 
 
+def encoded_blocks(
+    encoded: DataFrame, block_size: int = 8192, batch_rows: int | None = 1000, order: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """Blocks of documents that are ids already (``input_ids``), each with its end mark, and their mask.
+
+    Both columns are packed; a NULL document has the end mark alone.
+    """
+    ids = I.append_eos(F.coalesce("input_ids", F.array().cast("array<int>")))
+    rows = encoded.select(*order, ids.alias("input_ids")).withColumn("attention_mask", I.ones_like("input_ids"))
+    cols = ["input_ids", "attention_mask"]
+    if batch_rows is None:
+        return pack_global(rows, cols, block_size, order)
+    return pack_batches(rows, cols, block_size, batch_rows, order)
+
+
 def corpus_to_ranks(
     corpus: DataFrame, world_size: int, batch_size: int = 1, block_size: int = 8192, even: bool = False
 ) -> DataFrame:
