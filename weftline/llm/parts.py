@@ -25,13 +25,22 @@ CACHE_CHARS = 64
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 def units(data: np.ndarray, border: np.ndarray) -> np.ndarray:
     """Borders of parts of the texts that can be split into matches one by one.
 
-    A part ends before a single blank between two characters that are no white space: no
-    match of the split pattern runs across that place or looks behind it. White space
-    beyond ASCII is made of bytes from 0x80 on; next to those bytes a part ends only if
-    the slice has no such white space at all.
+    A part ends before a single blank between two characters that are no white space, and
+    between an ASCII letter and an ASCII mark other than the apostrophe: no match of the
+    split pattern runs across such a place or looks behind it. White space beyond ASCII is
+    made of bytes from 0x80 on; next to those bytes a part ends at a blank only if the
+    slice has no such white space at all.
     """
     n = len(data)
     solid = ~SPACE[data] & ((data < 0x1C) | (data > 0x1F))
@@ -39,17 +48,22 @@ def units(data: np.ndarray, border: np.ndarray) -> np.ndarray:
         solid &= data < 0x80
     cut = np.zeros(n, dtype=bool)
     cut[1:-1] = (data[1:-1] == 32) & solid[:-2] & solid[2:]
+    letter, mark = _LETTER[data], _MARK[data]
+    cut[1:] |= (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
     inner = border[(border > 0) & (border < n)]
-    cut[inner - 1] = False
     cut[inner] = True
     return np.concatenate([[0], np.flatnonzero(cut), [n]]) if n else np.zeros(1, np.int64)
 
 
 class PartCache:
-    """Encodes columns of texts; ``make`` gives the ids (little-endian, 32 bits) of new, different parts."""
+    """Encodes columns of texts; ``make`` gives the ids (little-endian, 32 bits) of new, different parts.
+
+    ``lower`` is for tokenizers that fold A-Z anyway: it makes the parts fewer.
+    """
 
-    def __init__(self, make: Callable[[list[str]], dict[str, bytes]]):
+    def __init__(self, make: Callable[[list[str]], dict[str, bytes]], lower: bool = False):
         self.make = make
+        self.lower = lower
         self.known: dict[str, bytes] = {}
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +73,8 @@ class PartCache:
         border = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(buffers[2] or b"", np.uint8)[border[0] : border[-1]]
         border = border - border[0]
+        if self.lower:
+            data = _LOWER[data]
         cuts = units(data, border)
         if len(cuts) < 2:
             return np.empty(0, "<u4"), np.zeros(len(column) + 1, np.int64)
