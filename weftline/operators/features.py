@@ -146,11 +146,15 @@ def encode_features(
 
 
 def normal_value(seed: int, *at: Column) -> Column:
-    """A standard normal number that depends on the seed and the place only."""
+    """A standard normal number that depends on the seed and the place only.
+
+    The bits are those of an MD5 digest, which other systems compute alike.
+    """
 
     def uniform(part: int) -> Column:
         # 52 bits, shifted by one half, so never 0 or 1.
-        bits = F.xxhash64(F.lit(seed), F.lit(part), *at).bitwiseAND(F.lit((1 << 52) - 1))
+        place = F.concat_ws("|", F.lit(str(seed)), F.lit(str(part)), *[a.cast("string") for a in at])
+        bits = F.conv(F.substring(F.md5(place.cast("binary")), 1, 13), 16, 10).cast("bigint")
         return (bits.cast("double") + 0.5) / float(1 << 52)
 
     return F.sqrt(-2.0 * F.log(uniform(1))) * F.cos(F.lit(2.0 * np.pi) * uniform(2))

@@ -82,13 +82,31 @@ def union_of_shards(spark, sf_dir):
     )
 
 
-@query("media_scan")
+# A file for every thousand ids of a language, with a line for each document.
+@query(
+    "media_scan",
+    """WITH l AS (SELECT lang, doc_id // 1000 AS chunk,
+        string_agg(doc_id || ':' || md5(text) || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY ALL)
+    SELECT lang, chunk, octet_length(encode(content))::BIGINT AS length, md5(content) AS digest FROM l""",
+)
 def media_scan(spark, sf_dir):
-    files = read_media(spark, sf_dir, pattern="*.parquet")
+    docs = table(spark, sf_dir, "documents")
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.md5(F.encode("text", "UTF-8"))).alias("value")
+    lines = docs.select("lang", F.expr("doc_id div 1000").alias("chunk"), "doc_id", line)
+    path = scratch_path(spark, "media")
+    (
+        lines.repartition("lang", "chunk")
+        .sortWithinPartitions("lang", "chunk", "doc_id")
+        .drop("doc_id")
+        .write.partitionBy("lang", "chunk")
+        .text(path)
+    )
+    files = read_media(spark, path, pattern="*.txt")
     return files.select(
-        F.regexp_extract("path", "([^/]+)$", 1).alias("name"),
+        F.regexp_extract("path", "/lang=([^/]+)/", 1).alias("lang"),
+        F.regexp_extract("path", "/chunk=([0-9]+)/", 1).cast("bigint").alias("chunk"),
         "length",
-        F.hex(F.substring("content", 1, 4)).alias("signature"),
+        F.md5("content").alias("digest"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ...functions import vectors as V
 from ...operators import features, vocabulary
-from .registry import query, table
+from .registry import query, sql_words, table
 
 
 def _frames(spark, sf_dir):
@@ -180,10 +180,20 @@ def encode_features(spark, sf_dir):
     )
 
 
-@query("weight_moments")
+def _sql_uniform(part: int) -> str:
+    return f"((('0x' || left(md5('42|{part}|' || token || '|' || dim), 13))::BIGINT)::DOUBLE + 0.5) / {1 << 52}.0::DOUBLE"
+
+
+@query(
+    "weight_moments",
+    f"""WITH v AS (SELECT DISTINCT unnest({sql_words("text")}) AS token FROM documents),
+      p AS (SELECT token, unnest(range(16)) AS dim FROM v),
+      x AS (SELECT dim, sqrt(-2.0 * ln({_sql_uniform(1)})) * cos(2.0 * pi() * {_sql_uniform(2)}) * 0.25 AS x FROM p)
+    SELECT dim::INT AS dim, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM x GROUP BY dim""",
+)
 def weight_moments(spark, sf_dir):
     counts = vocabulary.count_words(table(spark, sf_dir, "documents"))
-    ids = counts.select(F.xxhash64("token").alias("row"))
+    ids = counts.select(F.col("token").alias("row"))
     weights = features.init_weights(ids, "row", 16)
     values = weights.select(F.posexplode("w").alias("dim", "x"))
     return values.groupBy("dim").agg(
