@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import ids as I
-from ...streaming import encode_stream, log_windows, pack_stream, run_to_parquet
+from ...session import scratch_path
+from ...streaming import encode_stream, log_windows, pack_stream, run_to_parquet, stream_tails
 from .registry import query, sql_bytes, sql_digest, table, utc
 
 STREAM_BLOCK = 1024
@@ -55,23 +56,31 @@ def stream_windows(spark, sf_dir):
     )
 
 
-# What is left in the state, less than a block per source and lane, is not put out.
+# Several micro-batches; the rest of each lane comes from the state. The order is that of
+# arrival, so contents are compared without it.
 @query(
     "stream_pack",
-    f"""WITH t AS (SELECT source, doc_id % 4 AS lane, sum(octet_length(encode(text)) + 1)::BIGINT // {STREAM_BLOCK} AS n
-      FROM documents GROUP BY ALL)
-    SELECT source, lane::INT AS lane, n AS n_blocks, n * {STREAM_BLOCK} AS n_ids, n - 1 AS last_block,
-      {STREAM_BLOCK} AS least FROM t WHERE n > 0""",
+    f"""WITH d AS (SELECT source, doc_id % 4 AS lane, list_append({sql_bytes("text")}, 2) AS ids FROM documents),
+      t AS (SELECT source, lane, sum(len(ids))::BIGINT AS n_ids, sum(list_sum(ids))::BIGINT AS sum_ids,
+        sum(list_sum(list_transform(ids, lambda x: x * x)))::BIGINT AS sum_squares FROM d GROUP BY ALL)
+    SELECT source, lane::INT AS lane, n_ids // {STREAM_BLOCK} AS n_blocks, n_ids, ceil(n_ids / {STREAM_BLOCK}.0)::BIGINT - 1 AS last_block,
+      n_ids % {STREAM_BLOCK} AS n_tail, sum_ids, sum_squares FROM t""",
 )
 def stream_pack(spark, sf_dir):
-    docs = _stream(spark, sf_dir, "documents").select(
-        "source", "doc_id", I.byte_chars("text").alias("chars")
-    )
-    packed = pack_stream(docs, "source", STREAM_BLOCK, "chars", lane=F.col("doc_id") % 4)
-    out = run_to_parquet(packed, "stream-pack").withColumn("input_ids", I.ids_of_chars("chars"))
-    return out.groupBy("source", "lane").agg(
-        F.countDistinct("block_no").alias("n_blocks"),
-        F.sum(F.size("input_ids")).alias("n_ids"),
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", I.byte_chars("text").alias("chars"))
+    arriving, path = scratch_path(spark, "arriving"), scratch_path(spark, "stream-pack")
+    docs.repartition(4, "doc_id").write.parquet(arriving)
+    live = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    packed = pack_stream(live, "source", STREAM_BLOCK, "chars", lane=F.col("doc_id") % 4)
+    blocks = run_to_parquet(packed, "stream-pack", path).unionByName(stream_tails(spark, path, "source", "chars"))
+    blocks = blocks.withColumn("ids", I.ids_of_chars("chars"))
+    size = F.size("ids")
+    full = size == STREAM_BLOCK
+    return blocks.groupBy("source", "lane").agg(
+        F.countDistinct(F.when(full, F.col("block_no"))).alias("n_blocks"),
+        F.sum(size).alias("n_ids"),
         F.max("block_no").alias("last_block"),
-        F.min(F.size("input_ids")).alias("least"),
+        F.sum(F.when(full, 0).otherwise(size)).alias("n_tail"),
+        F.sum(F.aggregate("ids", F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("sum_ids"),
+        F.sum(F.aggregate("ids", F.lit(0).cast("bigint"), lambda s, x: s + x * x)).alias("sum_squares"),
     )

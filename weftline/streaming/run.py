@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame
 from ..session import scratch_path
 
 
+def progress_path(path: str) -> str:
+    """Where the progress and the state of the query that writes ``path`` are kept."""
+    return f"{path}-progress"
+
+
 def run_to_parquet(sdf: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Process all available input in append mode into a parquet table.
 
@@ -18,7 +23,7 @@ def run_to_parquet(sdf: DataFrame, name: str, path: str | None = None) -> DataFr
     out = scratch_path(spark, name) if path is None else path
     query = (
         sdf.writeStream.format("parquet")
-        .option("checkpointLocation", f"{out}-progress")
+        .option("checkpointLocation", progress_path(out))
         .outputMode("append")
         .trigger(availableNow=True)
         .start(out)
