@@ -12,10 +12,11 @@ each way to leave out one symbol of a chunk; signatures that share a key are can
 Equal sets are one node before that, so copies never meet.
 
 Links are confirmed on the full sets. A group of near copies must not become all its pairs,
-and only components are asked for: first every node is compared with the smallest node it
-shares a key with. Only where a key still joins different components are the signatures
-compared pair by pair across components, in blocks, and pairs within the radius confirmed.
-So no pair within the radius is left out unless both ends are already connected.
+and only components are asked for: the smallest node of a key is its pivot, and every node is
+compared with the closest pivot of its keys first. Only where a key still joins different
+components do signatures meet pair by pair across components, large groups in blocks, and
+pairs within the radius are confirmed. So no pair within the radius is left out unless both
+ends are already connected.
 
 Shingles and sets are known by 64-bit hashes. NULL and empty texts have no set and are
 linked with nothing; each such row, also without ``doc_id``, is its own component. Rows with
@@ -31,7 +32,6 @@ from dataclasses import dataclass
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -192,23 +192,23 @@ def _shared_keys(nodes: DataFrame, params: Params) -> DataFrame:
     return all_keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(runs, "key long, node long, pivot long")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     n = len(column)
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(n, -1)
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
-    """Pairs (``a``, ``b``) whose signatures are within the radius."""
+def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``) with ``far``, the number of symbols in which their signatures differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 far = (_matrix(batch.column("sa")) != _matrix(batch.column("sb"))).sum(axis=1)
-                yield batch.select(["a", "b"]).filter(pa.array(far <= radius))
+                yield batch.select(["a", "b"]).append_column("far", pa.array(far.astype(np.int32)))
 
     sign = nodes.select("node", "signature")
     both = pairs.join(sign.toDF("a", "sa"), "a").join(sign.toDF("b", "sb"), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, far int")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -229,22 +229,23 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
+def _similar(x: bytes, y: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (``a``, ``b``) whose full sets are similar enough."""
 
-    def similar(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        if len(x) > len(y):
-            x, y = y, x
-        if 100 * len(x) < percent * len(y):
-            return False
-        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-        return 100 * both >= percent * (len(x) + len(y) - both)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist())
-            yield batch.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in sides], pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array([_similar(x, y, percent) for x, y in sides], pa.bool_()))
 
     both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
@@ -269,22 +270,58 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
-    """Pairs within the radius that share a key and lie in different components.
+def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
+    """Links (``a``, ``b``) between different components that share a key.
 
-    The largest component of a key is not compared with itself; all others are compared
-    with it and with each other, in blocks of about ``BLOCK`` signatures a side.
+    A key of few nodes gives its pairs from different components. Keys of many nodes are
+    put together to clusters, so that a large group of near copies, which shares many keys, is
+    compared once; its signatures and sets meet in blocks, and only links come out.
     """
-    members = shared.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per_part = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    per_key = per_part.groupBy("key").agg(F.max(F.struct("n", "label")).alias("largest"), F.sum("n").alias("n")).where("n > largest.n")
-    per_key = per_key.select(
-        "key",
+    members = shared.select("key", "node", "pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per_key = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = members.join(per_key.where("low <> high").select("key", "n"), "key")
+    mixed = cut_lineage(mixed, "mixed")
+    large = mixed.where(F.col("n") > BLOCK)
+    few = mixed.where(F.col("n") <= BLOCK).select("key", "node", "label")
+    if large.isEmpty():
+        clusters = labels.limit(0).toDF("node", "cluster")
+        links = shared.limit(0).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    else:
+        clusters = components(large.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()).toDF("node", "cluster")
+        clusters = cut_lineage(clusters, "clusters")
+        grouped = clusters.join(labels, "node", "left").select("cluster", "node", F.coalesce("label", "node").alias("label"))
+        links = _in_blocks(grouped, nodes.select("node", "signature").join(sets, "node"), params)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cell in _whole_cells(batches, ["key"]):
+            node, label, cluster = (rows.column(c).to_numpy() for c in ("node", "label", "cluster"))
+            for x, y in _meetings(cell):
+                meet = (label[x] != label[y]) & ((cluster[x] != cluster[y]) | (cluster[x] == 0))
+                a, b = node[x[meet]], node[y[meet]]
+                yield pa.record_batch({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    # Nodes of one cluster have met already; 0 is no cluster.
+    few = few.join(clusters, "node", "left").select("key", "node", "label", F.coalesce("cluster", F.lit(0)).alias("cluster"))
+    met = few.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct()
+    near = _distances(met, nodes).where(F.col("far") <= params.radius).select("a", "b")
+    return _confirmed(near, sets, params.percent).union(links.select("a", "b"))
+
+
+def _in_blocks(members: DataFrame, content: DataFrame, params: Params) -> DataFrame:
+    """Links (``a``, ``b``) between different labels of a cluster (``cluster``, ``node``, ``label``).
+
+    The largest component is not compared with itself; all others are compared with it
+    and with each other, in blocks of about ``BLOCK`` nodes a side.
+    """
+    per_part = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    per_cluster = per_part.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("largest"), F.sum("n").alias("n"))
+    per_cluster = per_cluster.where("n > largest.n").select(
+        "cluster",
         F.col("largest.label").alias("main"),
         F.ceil(F.col("largest.n") / BLOCK).alias("mains"),
         F.ceil((F.col("n") - F.col("largest.n")) / BLOCK).alias("rests"),
     )
-    rows = members.join(per_key, "key").withColumn("is_main", F.col("label") == F.col("main"))
+    rows = members.join(per_cluster, "cluster").withColumn("is_main", F.col("label") == F.col("main"))
     number = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests")))
     # Blocks of the largest part are -1, -2, ... and meet every block 0, 1, ... of the rest; those meet each other.
     rows = rows.withColumn("block", F.when(F.col("is_main"), -1 - number).otherwise(number))
@@ -297,24 +334,62 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, radius: int)
         F.sequence(F.lit(0).cast("bigint"), F.col("mains") - 1), lambda i: F.struct((-1 - i).alias("i"), block.alias("j"))
     )
     meets = F.when(F.col("is_main"), with_rest).otherwise(F.concat(with_rest, with_main))
-    cells = rows.select("key", "node", "label", "block", F.explode(meets).alias("cell"))
-    cells = cells.join(nodes.select("node", "signature"), "node").select("key", "cell.i", "cell.j", "node", "label", "block", "signature")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sign = np.frombuffer(b"".join(group["signature"]), np.uint16).reshape(len(group), -1)
-        node, label = group["node"].to_numpy(), group["label"].to_numpy()
-        block, i, j = group["block"].to_numpy(), group["i"].iloc[0], group["j"].iloc[0]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in left:
-            other = right[(label[right] != label[x]) & ((node[right] > node[x]) | (i != j))]
-            near = other[(sign[other] != sign[x]).sum(axis=1) <= radius]
-            a.append(np.full(len(near), node[x]))
-            b.append(node[near])
-        a, b = np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype=np.int64)
-
-    return cells.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    cells = rows.select("cluster", "node", "label", "block", F.explode(meets).alias("cell"))
+    cells = cells.join(content, "node").select("cluster", "cell.i", "cell.j", "node", "label", "block", "signature", "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cell in _whole_cells(batches, ["cluster", "i", "j"]):
+            sign, shingles = _matrix(rows.column("signature")), rows.column("shingles").to_pylist()
+            node, label, block = (rows.column(c).to_numpy() for c in ("node", "label", "block"))
+            within = rows.column("i").to_numpy() == rows.column("j").to_numpy()
+            for x, y in _meetings(cell):
+                meet = (label[x] != label[y]) & (within[x] | (block[x] != block[y]))
+                x, y = x[meet], y[meet]
+                near = (sign[x] != sign[y]).sum(axis=1) <= params.radius
+                linked = [(i, j) for i, j in zip(x[near], y[near]) if _similar(shingles[i], shingles[j], params.percent)]
+                if linked:
+                    i, j = np.array(linked).T
+                    yield pa.record_batch({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+
+    cells = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return cells.mapInArrow(compare, "a long, b long")
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``by``, no cell cut in two, with a number per cell; the last cell of a batch waits."""
+    waiting: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+        cell = _cells(rows, by)
+        last = int(np.searchsorted(cell, cell[-1]))
+        waiting = rows.slice(last)
+        if last:
+            yield rows.slice(0, last), cell[:last]
+    if waiting is not None:
+        yield waiting, _cells(waiting, by)
+
+
+def _cells(rows: pa.Table, by: list[str]) -> np.ndarray:
+    """A number per cell, rising along the sorted rows."""
+    changes = np.zeros(rows.num_rows, dtype=bool)
+    for part in (rows.column(c).to_numpy() for c in by):
+        changes[1:] |= part[1:] != part[:-1]
+    return np.cumsum(changes)
+
+
+def _meetings(cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every two rows of a cell meet once: rows and the rows that lie 1, 2, ... places behind them."""
+    end = np.searchsorted(cell, cell, side="right")
+    at, step = np.arange(len(cell)), 1
+    while True:
+        at = at[at + step < end[at]]
+        if not len(at):
+            return
+        yield at, at + step
+        step += 1
 
 
 def near_dedup(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -329,11 +404,12 @@ def near_dedup(docs: DataFrame, params: Params = Params()) -> DataFrame:
     members = shared.select("node").distinct()
     sets = cut_lineage(_full_sets(docs, nodes.select("node", "low").join(members, "node"), params.shingle), "sets")
 
-    first = shared.where("node <> pivot").groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
-    linked = cut_lineage(_confirmed(_near(first, nodes, params.radius), sets, params.percent), "links")
+    # Every node is compared with the closest of the pivots of its keys.
+    stars = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    closest = _distances(stars, nodes).where(F.col("far") <= params.radius).groupBy("b").agg(F.min(F.struct("far", "a")).alias("best"))
+    linked = cut_lineage(_confirmed(closest.select(F.col("best.a").alias("a"), "b"), sets, params.percent), "links")
     labels = components(linked)
-    more = cut_lineage(_across(shared, labels, nodes, params.radius), "pairs")
-    found = _confirmed(more, sets, params.percent)
+    found = _across(shared, labels, nodes, sets, params)
     of_a, of_b = labels.toDF("a", "la"), labels.toDF("b", "lb")
     lifted = found.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     merged = components(lifted)
