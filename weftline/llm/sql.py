@@ -70,3 +70,51 @@ SELECT doc_id, min(i) AS start_word, max(i) + 50 AS end_word, min(start) AS star
        max(i) + 50 - min(i) AS n_words
 FROM runs GROUP BY doc_id, run
 """
+
+
+def _link_graph(rounds: int = 10) -> str:
+    """Rules, seeds and the rounds of spreading, one common table per round."""
+    rules = [  # longest first
+        ("www.example.com", "/en/", "allow"),
+        ("example.com", "/en/", "block"),
+        ("net", "/es/", "block"),
+        ("net", "/fr/", "block"),
+        ("com", "/", "allow"),
+    ]
+
+    def fits(host: str, path: str) -> str:
+        return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in rules)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in rules)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    url = "(?s)^.*?://([^/?#]*)([^?#]*)"
+    link = r"""(?i)\bhref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)"""
+    steps = "".join(
+        f""", r{i + 1} AS MATERIALIZED (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
+          SELECT * FROM r0
+          UNION ALL SELECT dst, CASE WHEN along THEN 0.85 * trust * weight ELSE 0 END,
+            CASE WHEN along THEN 0 ELSE 0.85 * distrust * weight END FROM r{i} JOIN ways ON src = host) GROUP BY host)"""
+        for i in range(rounds)
+    )
+    return f"""WITH parts AS (
+      SELECT page_id, html, coalesce(translate(regexp_extract(url, '{url}', 1), '{upper}', '{lower}'), '') AS host,
+        coalesce(regexp_extract(url, '{url}', 2), '') AS path FROM pages),
+    ruled AS MATERIALIZED (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS decided FROM parts),
+    links AS (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{link}', 1),
+        lambda h: translate(h, '{upper}', '{lower}')))) AS dst FROM ruled WHERE host <> ''),
+    counted AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst AND dst <> '' GROUP BY ALL),
+    edges AS (SELECT src, dst, n::DOUBLE / sum(n) OVER (PARTITION BY src) AS weight FROM counted),
+    ways AS MATERIALIZED (SELECT src, dst, weight, true AS along FROM edges
+      UNION ALL SELECT dst, src, weight / sum(weight) OVER (PARTITION BY dst), false FROM edges),
+    share AS (SELECT host, count(*) AS n, count(*) FILTER (decided = 'allow') AS allowed, count(*) FILTER (decided = 'block') AS blocked
+      FROM ruled WHERE host <> '' GROUP BY host),
+    r0 AS MATERIALIZED (SELECT host, CASE WHEN allowed > 0 AND blocked = 0 THEN 0.15::DOUBLE ELSE 0 END AS trust,
+        CASE WHEN 2 * blocked >= n THEN 0.15::DOUBLE ELSE 0 END AS distrust
+      FROM share WHERE (allowed > 0 AND blocked = 0) OR 2 * blocked >= n){steps},
+    bad AS (SELECT host FROM r{rounds} WHERE distrust >= 0.015 AND distrust > trust)
+    SELECT page_id, host, path, rule,
+      coalesce(decided, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled"""
+
+
+SQL["op7_link_graph"] = _link_graph()
