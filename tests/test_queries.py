@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from weftline.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
@@ -20,7 +21,12 @@ def test_sql_only_for_registered_queries():
     assert set(SQL) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+def test_entry_lists_the_catalog():
+    assert set(QUERIES) <= set(entry.queries())
+
+
+# Queries that other packages add are tested with them.
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     fn = entry.queries()[name]
     if name in SQL:
