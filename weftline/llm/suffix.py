@@ -147,15 +147,17 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     {
                         "key": key.view(np.int64),
                         "doc": part.column("doc").to_numpy()[owner],
-                        "word": (window - first).astype(np.int32),
-                        "start": start.astype(np.int32),
-                        "end": end.astype(np.int32),
+                        "place": (window - first) << 32 | start,
+                        "size": (end - start).astype(np.int32),
                     }
                 )
 
     whole = texts.join(candidates.hint("merge"), "doc").select("doc", "text", "words")
-    windows = cut_lineage(whole.mapInArrow(extend, "key long, doc long, word int, start int, end int"), "windows")
-    repeated = windows.join(_shared(windows).hint("merge"), "key").select("doc", "word", "start", "end")
+    # ``place`` is the number of the first word and its code point, so that rows stay narrow.
+    windows = cut_lineage(whole.mapInArrow(extend, "key long, doc long, place long, size int"), "windows")
+    moved = windows.join(_shared(windows).hint("merge"), "key").select("doc", "place", "size").repartition("doc")
+    start = F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+    repeated = moved.select("doc", F.shiftright("place", 32).alias("word"), start.alias("start"), (start + F.col("size")).alias("end"))
     by_place = Window.partitionBy("doc").orderBy("word", "end")
     apart = F.coalesce(F.col("word") > F.max("word").over(by_place.rowsBetween(Window.unboundedPreceding, -1)) + min_words, F.lit(True))
     runs = repeated.withColumn("new", apart.cast("int")).withColumn("run", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
