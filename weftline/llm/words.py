@@ -33,7 +33,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) <= n:
         for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(2 * n + 2, base, np.uint64)
+            steps = np.full(n + n // 4 + 1, base, np.uint64)
             steps[0] = 1
             _powers[i] = np.cumprod(steps)
     return _powers[0], _powers[1]
