@@ -342,19 +342,40 @@ def _in_blocks(members: DataFrame, content: DataFrame, params: Params) -> DataFr
             sign, shingles = _matrix(rows.column("signature")), rows.column("shingles").to_pylist()
             node, label, block = (rows.column(c).to_numpy() for c in ("node", "label", "block"))
             within = rows.column("i").to_numpy() == rows.column("j").to_numpy()
+            joined = _Joined()
             for x, y in _meetings(cell):
                 meet = (label[x] != label[y]) & (within[x] | (block[x] != block[y]))
                 x, y = x[meet], y[meet]
                 near = (sign[x] != sign[y]).sum(axis=1) <= params.radius
-                linked = [(i, j) for i, j in zip(x[near], y[near]) if _similar(shingles[i], shingles[j], params.percent)]
-                if linked:
-                    i, j = np.array(linked).T
-                    yield pa.record_batch({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+                for i, j in zip(x[near].tolist(), y[near].tolist()):
+                    # One link is enough between components that these rows have connected already.
+                    if joined.apart(label[i], label[j]) and _similar(shingles[i], shingles[j], params.percent):
+                        joined.join(label[i], label[j])
+                        yield pa.record_batch({"a": node[[i]], "b": node[[j]]})
 
     cells = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     return cells.mapInArrow(compare, "a long, b long")
 
 
+class _Joined:
+    """Labels that links have connected so far."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, label: int) -> int:
+        while (up := self.above.get(label, label)) != label:
+            self.above[label] = self.above.get(up, up)
+            label = up
+        return label
+
+    def apart(self, x: int, y: int) -> bool:
+        return self.root(x) != self.root(y)
+
+    def join(self, x: int, y: int) -> None:
+        self.above[self.root(x)] = self.root(y)
+
+
 def _whole_cells(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Rows sorted by ``by``, no cell cut in two, with a number per cell; the last cell of a batch waits."""
     waiting: pa.Table | None = None
