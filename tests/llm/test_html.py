@@ -31,6 +31,33 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+def paragraphs(name, n):
+    return "".join(f"<p>{name} paragraph {i} says something, and then it says some more of it, as texts do.</p>" for i in range(n))
+
+
+def wanted(name, n):
+    return " ".join(f"{name} paragraph {i} says something, and then it says some more of it, as texts do." for i in range(n))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div id=content><section>{paragraphs('First', 6)}</section><section>{paragraphs('Second', 4)}</section></div></body>",
+        f"<body><div><div>{paragraphs('First', 6)}</div></div><div><div><div>{paragraphs('Second', 4)}</div></div></div></body>",
+        f"<table><tr><td>{paragraphs('First', 6)}</td></tr><tr><td>{paragraphs('Second', 4)}</td></tr></table>",
+        f"<body><div>{paragraphs('First', 6)}</div><div><article><p>A card, short.</p></article></div><div>{paragraphs('Second', 4)}</div></body>",
+    ],
+)
+def test_sections_without_an_article_all_count(page):
+    got = html.main_text(page)
+    assert wanted("First", 6) in got and wanted("Second", 4) in got
+
+
+def test_most_of_a_page_in_one_article_is_alone():
+    page = f"<body><article>{paragraphs('First', 6)}</article><div>{paragraphs('Other', 2)}</div></body>"
+    assert html.main_text(page) == wanted("First", 6)
+
+
 def test_broken_markup_takes_linear_time():
     for page in ("<a '" * 50_000, "<" * 200_000, "<p>" * 50_000, "<!--" * 50_000, "<script>" * 20_000, "x" * 1_000_000, "</div>" * 50_000):
         html.main_text(page)

@@ -4,8 +4,10 @@ A page is cut into blocks of text, each at the end of a path of tags from the ro
 path the length of the text, its punctuation and its links are summed over the page; a
 path's ratio is text and punctuation per block, less the share that is link text. The
 ratios in page order are smoothed over neighbouring blocks and fused with the path's own.
-The content is what lies below the element that holds most of the fused weight, of which
-paths far below the weight of a typical content path go, unless they are headings.
+Blocks far below the weight of a typical content block go. The content is what the others
+have in common: all that lies below the deepest element above them, and of the rest in it the
+headings. Where one article or main element holds most of the weight, such elements are
+the content whole and alone.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are known by their tags and by words in class, id and role; they never count.
@@ -71,6 +73,8 @@ MAIN = frozenset(["article", "main"])
 
 SMOOTHING = np.array([0.25, 0.5, 1.0, 0.5, 0.25])
 SHARE = 0.05
+#: A single block beside an article, outside any other element, is a text of its own from so many characters on.
+LINE = 200
 
 
 def _outside(tag: str, attributes: str) -> bool:
@@ -195,41 +199,47 @@ def main_text(page: str | None) -> str:
     ratio = np.bincount(of, length) / n * (1 + np.bincount(of, stops) / n) * own
     block = ratio[of]
     fused = np.sqrt(block * _smoothed(block))
-    marked = np.array([not MAIN.isdisjoint(p) for p in paths])
-    weight = np.where(marked, fused, 0.0) if marked.any() else fused
-    total = weight.sum()
-    if total <= 0:
+    if fused.sum() <= 0:
         return ""
-    root: tuple[str, ...] = ()
-    while True:
-        below: dict[str, float] = {}
-        for (path, _, _), w in zip(found, weight):
-            if len(path) > len(root) and path[: len(root)] == root:
-                below[path[len(root)]] = below.get(path[len(root)], 0.0) + w
-        heaviest = max(below, key=below.get, default=None)
-        # A block is no frame: stop above the elements that hold text themselves.
-        if heaviest is None or below[heaviest] <= total / 2 or any(path == (*root, heaviest) for path, _, _ in found):
-            break
-        root = (*root, heaviest)
-    several = _main_roots(found, root)
-    inside = np.array([any(path[: len(r)] == r for r in several) for path, _, _ in found])
-    least = SHARE * np.average(fused[inside], weights=length[inside])
-    heading = np.array([not HEADINGS.isdisjoint(p) for p in paths])
-    kept = inside & ((fused >= least) | heading | marked)
+    outer = [next((path[: i + 1] for i, name in enumerate(names) if name in MAIN), None) for (path, _, _), names in zip(found, paths)]
+    marked = np.array([r is not None for r in outer])
+    most = 2 * fused[marked].sum() > fused.sum()
+    if _settled(found, outer, fused):
+        kept = marked
+    else:
+        least = SHARE * np.average(fused, weights=length - linked)
+        typical = fused >= least
+        root = _above([path for (path, _, _), t in zip(found, typical | (marked & most)) if t])
+        inside = np.array([path[: len(root)] == root for path, _, _ in found])
+        heading = np.array([not HEADINGS.isdisjoint(p) for p in paths])
+        kept = inside & (typical | heading | (marked & most))
     return " ".join(text for (_, text, _), k in zip(found, kept) if k)
 
 
-def _main_roots(found: list, root: tuple[str, ...]) -> list[tuple[str, ...]]:
-    """All article elements if the root lies in one (a page may have several), else the root."""
-    if MAIN.isdisjoint(_names(root)):
-        return [root]
-    roots = {}
-    for path, _, _ in found:
-        for i, name in enumerate(_names(path)):
-            if name in MAIN:
-                roots[path[: i + 1]] = None
-                break
-    return list(roots)
+def _settled(found: list, outer: list[tuple[str, ...] | None], fused: np.ndarray) -> bool:
+    """Whether the article and main elements are the content: one holds most of the weight, or a short line is all that is beside them."""
+    own: dict[tuple[str, ...], float] = {}
+    for r, w in zip(outer, fused):
+        if r is not None:
+            own[r] = own.get(r, 0.0) + w
+    if not own:
+        return False
+    if 2 * max(own.values()) > fused.sum():
+        return True
+    beside = [(path, text) for (path, text, _), r in zip(found, outer) if r is None]
+    if len(beside) != 1:
+        return not beside
+    path, text = beside[0]
+    return len(text) < LINE and any(path[:-1] == r[:-1] for r in own)
+
+
+def _above(paths: list[tuple[str, ...]]) -> tuple[str, ...]:
+    """The deepest element above all ``paths``; a block is no frame, so elements that hold text themselves do not count."""
+    low, high = min(paths), max(paths)
+    n = 0
+    while n < min(len(low), len(high)) - 1 and low[n] == high[n]:
+        n += 1
+    return low[: min(n, min(map(len, paths)) - 1)] if min(map(len, paths)) else ()
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
