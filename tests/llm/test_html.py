@@ -58,6 +58,30 @@ def test_most_of_a_page_in_one_article_is_alone():
     assert html.main_text(page) == wanted("First", 6)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='content has-sidebar'>{ARTICLE}</div></body>",
+        f"<body><main class=no-sidebar>{ARTICLE}</main></body>",
+        f"<body><article class='post has-comments'>{ARTICLE}</article></body>",
+        f"<body><main class=menu>{ARTICLE}</main></body>",
+        f"<body><div id=page-with-nav>{ARTICLE}<div class=sidebar-left><p>Short, beside.</p></div></div></body>",
+        f"<body><div class=widget>{ARTICLE}</div><p class=post-share>Share it.</p></body>",
+        f"<body><div>{ARTICLE}</div><div class='x top-ad'>Buy, now.</div><div id=comment-12>I say, no.</div></body>",
+        f"<body><p>One sentence, and one more. It goes on for a while, <span class=ad>buy</span>as articles do.</p><p>A second paragraph follows; it is long enough, too.</p></body>",
+    ],
+)
+def test_words_in_names_of_the_text_hide_nothing(page):
+    assert html.main_text(page) == TEXT
+
+
+def test_words_in_names_of_sections():
+    page = f"<body><div>{paragraphs('First', 6)}</div><section class=related-work>{paragraphs('Second', 4)}</section><div class=related-posts>{paragraphs('Third', 2)}</div></body>"
+    assert html.main_text(page) == wanted("First", 6) + " " + wanted("Second", 4)
+    page = f"<body><div>{paragraphs('First', 4)}</div><div class=comments>{paragraphs('Reader', 9)}</div></body>"
+    assert html.main_text(page) == wanted("First", 4)
+
+
 def test_broken_markup_takes_linear_time():
     for page in ("<a '" * 50_000, "<" * 200_000, "<p>" * 50_000, "<!--" * 50_000, "<script>" * 20_000, "x" * 1_000_000, "</div>" * 50_000):
         html.main_text(page)

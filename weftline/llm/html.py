@@ -10,7 +10,11 @@ headings. Where one article or main element holds most of the weight, such eleme
 the content whole and alone.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are known by their tags and by words in class, id and role; they never count.
+comments are known by their tags and by words in class, id and role; they do not count. A
+word is believed where it is a name or its last part, or its first before parts of layout
+only (``sidebar-left``, not ``has-sidebar`` or ``related-work``), never on article and main, and not
+if what it would hide is most of the page's text that is not in links. Words for reader comments
+are believed as long as a text is left beside them.
 
 Character references are decoded, white space in a block becomes one space, and blocks are
 joined by one space. NULL, empty and textless pages give an empty text. Pages are whole
@@ -38,7 +42,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-WORD = re.compile(r"[a-z]+")
+PART = re.compile(r"[^a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、]")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,6 +61,16 @@ OUTSIDE_WORDS = frozenset(
     "breadcrumbs footer header masthead comment comments reply replies disqus related recommended widget popup modal "
     "login signup pagination pager toolbar search contentinfo complementary alert".split()
 )
+#: Those of reader comments, which may well be longer than the text they are about.
+COMMENTS = frozenset("comment comments reply replies disqus".split())
+#: First parts of names that say what an element has or is for, not what it is.
+ABOUT = frozenset("has have no not non with without is hide hides show shows open close toggle".split())
+#: What may follow a word in a name.
+LAYOUT = frozenset(
+    "area bar block body bottom box button buttons card col column container content count fixed form group "
+    "head holder icon icons inner item items left link links list main outer panel post posts article articles primary "
+    "right row secondary section slot text thread title top unit widget widgets wrap wrapper".split()
+)
 #: An open element that a new one of these ends by itself.
 ENDS = {
     "li": frozenset(["li"]),
@@ -77,18 +91,43 @@ SHARE = 0.05
 LINE = 200
 
 
-def _outside(tag: str, attributes: str) -> bool:
+def _word(name: str) -> str | None:
+    """The word that tells that an element of this name (one of its classes, its id or role) is no main text."""
+    parts = [p for p in PART.split(name) if p]
+    if not parts or not ABOUT.isdisjoint(parts):
+        return None
+    if parts[-1] in OUTSIDE_WORDS:
+        return parts[-1]
+    return parts[0] if parts[0] in OUTSIDE_WORDS and LAYOUT.issuperset(parts[1:]) else None
+
+
+def _outside(tag: str, attributes: str) -> tuple[bool, frozenset[str]]:
+    """Whether the element is no main text, and the words that say so if only they do."""
     if tag in OUTSIDE:
-        return True
-    if not attributes:
-        return False
+        return True, frozenset()
+    words = set()
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body") and not OUTSIDE_WORDS.isdisjoint(WORD.findall(value)):
-            return True
-    return False
+            return True, frozenset()
+        if name in ("class", "id", "role") and tag not in ("html", "body") and tag not in MAIN:
+            words.update(map(_word, value.split()))
+    return False, frozenset(words - {None})
+
+
+def _believed(parts: list[tuple[str, bool, frozenset[str]]]) -> frozenset[str]:
+    """Of the words around the parts of text, those that do not stand for most of the page."""
+    sizes = [0 if link else len("".join(text.split())) for text, link, _ in parts]
+    total = sum(sizes)
+    hides: dict[str, int] = {}
+    for (_, _, words), n in zip(parts, sizes):
+        for word in words:
+            hides[word] = hides.get(word, 0) + n
+    small = frozenset(w for w, n in hides.items() if 2 * n <= total)
+    for believed, least in ((small | (COMMENTS & hides.keys()), min(LINE, total)), (small, 1)):
+        if sum(n for (_, _, words), n in zip(parts, sizes) if believed.isdisjoint(words)) >= least:
+            return believed
+    return frozenset()
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
@@ -96,25 +135,21 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
     An element is its tag and its number in the page, so that paths tell elements apart.
     """
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, bool]] = []
+    found: list[tuple[tuple[str, ...], list[tuple[str, bool, frozenset[str]]]]] = []
+    stack: list[tuple[str, bool, frozenset[str]]] = []
     hidden = links = 0
-    text: list[str] = []
-    linked = 0
+    text: list[tuple[str, bool, frozenset[str]]] = []
+    words: frozenset[str] = frozenset()
     serial = 0
 
     def flush() -> None:
-        nonlocal linked
         if text:
-            joined = " ".join(unescape("".join(text)).split())
-            if joined:
-                out.append((tuple(t for t, _ in stack if t.split("#")[0] not in INLINE), joined, min(linked, len(joined))))
+            found.append((tuple(t for t, _, _ in stack if t.split("#")[0] not in INLINE), text.copy()))
             text.clear()
-        linked = 0
 
     def pop() -> None:
-        nonlocal hidden, links
-        tag, out_of = stack.pop()
+        nonlocal hidden, links, words
+        tag, out_of, words = stack.pop()
         hidden -= out_of
         links -= tag.startswith("a#")
 
@@ -129,11 +164,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 return
 
     def add(part: str) -> None:
-        nonlocal linked
         if part and not hidden:
-            text.append(part)
-            if links:
-                linked += len(part)
+            text.append((part, links > 0, words))
 
     at = 0
     for token in TOKEN.finditer(page):
@@ -163,14 +195,22 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if tag in ENDS:
                 close_until(ENDS[tag])
         serial += 1
-        out_of = _outside(tag, token["attributes"])
-        stack.append((f"{tag}#{serial}", out_of))
+        out_of, new = _outside(tag, token["attributes"])
+        stack.append((f"{tag}#{serial}", out_of, words))
+        words = words | new if new else words
         hidden += out_of
         links += tag == "a"
         if token["attributes"].rstrip().endswith("/") and tag not in INLINE:
             pop()
     add(page[at:])
     flush()
+    believed = _believed([part for _, parts in found for part in parts])
+    out = []
+    for path, parts in found:
+        parts = [part for part in parts if believed.isdisjoint(part[2])]
+        joined = " ".join(unescape("".join(part for part, _, _ in parts)).split())
+        if joined:
+            out.append((path, joined, min(sum(len(part) for part, link, _ in parts if link), len(joined))))
     return out
 
 
