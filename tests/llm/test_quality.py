@@ -101,3 +101,25 @@ def test_references_are_bounded():
     assert 1 / rules.lang_share <= 100 and 1 / rules.word_share <= 250
     out = quality.judged(pa.array([], pa.string()), [], rules)
     assert len(out["kept"]) == 0
+
+
+def test_rare_languages_are_not_lost(spark):
+    rng = random.Random(6)
+
+    def made(letters, n=3000):
+        return ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n)]
+
+    def prose(common, rare, n=120):
+        return " ".join(rng.choice(common if rng.random() < 0.5 else rare) for _ in range(n)) + "."
+
+    words = {"aa": (made("abcdeiou", 10), made("abcdeiou")), "ru": (made("абвгдеио", 10), made("абвгдеио")), "el": (made("αβγδειο", 10), made("αβγδειο"))}
+    words["xx"] = made("klmnprstuy", 10), made("klmnprstuy")
+    rows = [(i, prose(*words["aa"]), "aa") for i in range(4000)]
+    rows += [(5000 + i, prose(*words["ru"]), "ru") for i in range(30)]  # below 1 %, enough words for a reference
+    rows += [(6000, prose(*words["el"]), "el"), (6001, prose(*words["el"]), None), (6002, prose(*words["xx"]), "xx")]
+    junk = [(7000 + i, " ".join(w + "%%%" for w in prose(*words["aa"]).split()), lang) for i, lang in enumerate(("aa", "ru", None))]
+    docs = documents(spark, rows + junk)
+    assert [r["lang"] for r in quality.references(docs)] == ["aa", "ru"]
+    got = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    assert all(got[i] for i, *_ in rows) and not any(got[i] for i, *_ in junk)
+    assert {r.doc_id for r in quality.keep(docs).collect()} == {i for i, kept in got.items() if kept}

@@ -5,10 +5,15 @@ words of a language (all others are one more bin). Both are compared with the sa
 histograms of each language of the corpus by the Jensen-Shannon distance (the square root
 of the divergence to base 2, from 0 to 1); the closest language counts.
 
-References are made from every row with a language. A language takes part if it holds at
-least ``lang_share`` of those rows, a word is common if it is at least ``word_share`` of the
-language's words: at most ``1 / lang_share`` languages of ``1 / word_share`` words, so
-the references are small however long the table is, and are broadcast.
+References are made from every row with a language. A language takes part if it has at
+least ``min_lang_words`` words, however small its share, or ``lang_share`` of those rows. A word is
+common if it is at least ``word_share`` of the language's words: at most ``1 / word_share``
+words a language, so the references grow with the number of languages, not with the table,
+and are broadcast.
+
+A text that no reference can stand for is not judged by distance and keeps the verdict of its
+counts: one whose own language has no reference, or with at least half of its letters
+in scripts that are none of a reference's main ones (``script_share`` of its letters).
 
 Rows without words (NULL, empty, separators alone) have zero counts and no distances and
 are not kept. Repeated rows are judged alike. An empty table gives an empty result.
@@ -17,8 +22,10 @@ are not kept. Repeated rows are judged alike. An empty table gives an empty resu
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +61,8 @@ class Rules:
     min_words: int = 40
     max_word_distance: float = 0.42
     lang_share: float = 0.01
+    min_lang_words: int = 2000
+    script_share: float = 0.1
     word_share: float = 0.004
 
 
@@ -67,6 +76,48 @@ def _class_histogram(texts: Texts) -> np.ndarray:
     return np.stack([sums((kind == c) & lead, texts.border) for c in range(len(CLASSES))], axis=1)
 
 
+def _script(points: range) -> str:
+    """Script of the first letter among code points, by its name; empty if none is a letter."""
+    for point in points:
+        if unicodedata.category(chr(point))[0] == "L":
+            return unicodedata.name(chr(point), "").split(" ")[0].split("-")[0]
+    return ""
+
+
+@lru_cache(maxsize=1)
+def _scripts() -> tuple[list[str], np.ndarray]:
+    """Names of scripts, and the number of the script by the first two bytes of a character (0: no letter)."""
+    names = {"": 0}
+    table = np.zeros(1 << 16, np.int64)
+
+    def put(first: int, second: int, name: str) -> None:
+        table[first << 8 | second] = names.setdefault(name, len(names))
+
+    for point in range(128):
+        name = _script(range(point, point + 1))
+        if name:
+            table[point << 8 : (point + 1) << 8] = names.setdefault(name, len(names))
+    for bits, first, last, lead in ((0, 0x80, 0x800, 0xC0), (6, 0x800, 0x10000, 0xE0), (12, 0x10000, 0x40000, 0xF0)):
+        for start in range(first, last, 1 << bits):
+            put(lead | start >> (bits + 6), 0x80 | (start >> bits) & 0x3F, _script(range(start, start + (1 << bits))))
+    return list(names), table
+
+
+def _script_histogram(texts: Texts) -> np.ndarray:
+    """Per text, its letters by script."""
+    names, table = _scripts()
+    n, raw = len(texts), texts.bytes
+    lead = np.flatnonzero(LEAD[raw])
+    if not len(lead):
+        return np.zeros((n, len(names)), np.int64)
+    second = raw[np.minimum(lead + 1, len(raw) - 1)].astype(np.int64)
+    kind = table[raw[lead].astype(np.int64) << 8 | second]
+    owner = np.searchsorted(texts.border, lead, side="right") - 1
+    out = np.bincount(owner * len(names) + kind, minlength=n * len(names)).reshape(n, len(names))
+    out[:, 0] = 0
+    return out
+
+
 def _repeated_words(texts: Texts, words: np.ndarray) -> np.ndarray:
     """Per text, the words in windows of ``WINDOW`` words that the text has twice or more."""
     grams = window_hash(words, WINDOW)
@@ -134,15 +185,18 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> list[dict]:
                 lang = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 names = codes.dictionary.to_pylist()
                 classes = _class_histogram(texts)
+                scripts = _script_histogram(texts)
                 words = texts.word_hash()
                 of_word = lang[texts.word_text()]
                 for i, name in enumerate(names):
                     own, n = np.unique(words[of_word == i], return_counts=True)
                     mine = classes[lang == i].sum(axis=0)
                     rows = int((lang == i).sum())
-                    keys = np.concatenate([np.arange(n_classes + 1), own.astype(np.int64)])
-                    kind = np.repeat([0, 1], [n_classes + 1, len(own)])
-                    values = np.concatenate([mine, [rows], n]).astype(np.int64)
+                    written = scripts[lang == i].sum(axis=0)
+                    used = np.flatnonzero(written)
+                    keys = np.concatenate([np.arange(n_classes + 1), own.astype(np.int64), used])
+                    kind = np.repeat([0, 1, 2], [n_classes + 1, len(own), len(used)])
+                    values = np.concatenate([mine, [rows], n, written[used]]).astype(np.int64)
                     yield pa.record_batch(
                         {"lang": pa.array([name] * len(keys)), "kind": kind.astype(np.int32), "key": keys, "n": values}
                     )
@@ -152,18 +206,23 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> list[dict]:
     fixed = counted.where("kind = 0").groupBy("lang").pivot("key", list(range(n_classes + 1))).agg(F.sum("n"))
     rows = F.col(str(n_classes))
     every = counted.where(f"kind = 0 and key = {n_classes}").agg(F.sum("n")).first()[0] or 0
-    large = [r.asDict() for r in fixed.where(rows >= math.ceil(rules.lang_share * every)).collect()]
+    sizes = counted.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
+    enough = (rows >= math.ceil(rules.lang_share * every)) | (F.col("total") >= rules.min_lang_words)
+    large = [r.asDict() for r in fixed.join(sizes, "lang", "left").where(enough).collect()]
     if not large:
         return []
-    names = [r["lang"] for r in large]
-    words = counted.where((F.col("kind") == 1) & F.col("lang").isin(names))
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["lang"]: r["total"] for r in large if r["total"]}
+    words = counted.where("kind = 1")
     least = spark.createDataFrame([(k, max(1.0, v * rules.word_share)) for k, v in totals.items()] or [("", 1.0)], "lang string, least double")
     common: dict[str, list] = {}
     for r in words.join(F.broadcast(least), "lang").where("n >= least").select("lang", "key", "n").collect():
         common.setdefault(r["lang"], []).append((r["key"], r["n"]))
+    written: dict[str, dict[int, int]] = {}
+    for r in counted.where("kind = 2").select("lang", "key", "n").collect():
+        written.setdefault(r["lang"], {})[r["key"]] = r["n"]
     out = []
     for r in sorted(large, key=lambda r: r["lang"]):
+        letters = written.get(r["lang"], {})
         classes = np.array([r[str(i)] or 0 for i in range(n_classes)], float)
         own = sorted(common.get(r["lang"], []))
         total = totals.get(r["lang"], 0)
@@ -174,6 +233,7 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> list[dict]:
                 "classes": classes / max(classes.sum(), 1),
                 "words": np.array([k for k, _ in own], np.int64).astype(np.uint64),
                 "shares": shares / max(shares.sum(), 1),
+                "scripts": [k for k, n in sorted(letters.items()) if n >= rules.script_share * sum(letters.values())],
             }
         )
     return out
@@ -194,7 +254,8 @@ def quality(docs: DataFrame, rules: Rules = Rules(), langs: list[dict] | None =
     """Per row of ``docs``: ``doc_id``, the counts, ``base_failed``, ``kept`` and the distances.
 
     ``docs`` has ``doc_id``, ``text`` and, where references are not given, ``lang``. A text
-    whose ``base_failed`` is false is kept unless it is farther than a threshold from every language.
+    whose ``base_failed`` is false is kept unless it is farther than a threshold from every language
+    though a reference can stand for it.
     """
     langs = references(docs, rules) if langs is None else langs
     shared = docs.sparkSession.sparkContext.broadcast(langs)
@@ -202,27 +263,41 @@ def quality(docs: DataFrame, rules: Rules = Rules(), langs: list[dict] | None =
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.record_batch({"doc_id": part.column("doc_id"), **judged(part.column("text"), shared.value, rules)})
+                lang = part.column("lang") if "lang" in part.schema.names else None
+                yield pa.record_batch({"doc_id": part.column("doc_id"), **judged(part.column("text"), shared.value, rules, lang)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, {SCHEMA}")
+    columns = [c for c in ("doc_id", "text", "lang") if c in docs.columns]
+    return docs.select(*columns).mapInArrow(judge, f"doc_id {kind}, {SCHEMA}")
 
 
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; rows are judged where they are."""
     shared = docs.sparkSession.sparkContext.broadcast(references(docs, rules))
-    text = docs.columns.index("text")
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield part.filter(pa.array(judged(part.column(text), shared.value, rules)["kept"]))
+                yield part.filter(pa.array(judged(part.column(text), shared.value, rules, part.column(lang))["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def judged(column: pa.Array, langs: list[dict], rules: Rules) -> dict:
-    """The output columns for one slice of texts."""
+def _foreign(texts: Texts, langs: list[dict], own: pa.Array | None) -> np.ndarray:
+    """Whether no reference can stand for a text, by its own language or its script."""
+    scripts = _script_histogram(texts)
+    known = sorted({k for r in langs for k in r["scripts"]})
+    letters = scripts.sum(axis=1)
+    out = (letters > 0) & (2 * scripts[:, known].sum(axis=1) <= letters)
+    if own is not None:
+        names = {r["lang"] for r in langs}
+        out |= np.array([name is not None and name not in names for name in own.to_pylist()], bool)
+    return out
+
+
+def judged(column: pa.Array, langs: list[dict], rules: Rules, own: pa.Array | None = None) -> dict:
+    """The output columns for one slice of texts; ``own`` has their languages as far as known."""
     exact, folded = Texts(column), Texts(column, lower=True)
     n = len(exact)
     n_words = np.diff(exact.first)
@@ -243,6 +318,8 @@ def judged(column: pa.Array, langs: list[dict], rules: Rules) -> dict:
         closest[some] = np.array([r["lang"] for r in langs], dtype=object)[best[some]]
     far = (classes.sum(axis=1) >= rules.min_chars) & (class_distance > rules.max_class_distance)
     far |= (n_words >= rules.min_words) & (word_distance > rules.max_word_distance)
+    if far.any():
+        far &= ~_foreign(exact, langs, own)
     none = n_words == 0
     return {
         "n_words": n_words.astype(np.int64),
