@@ -113,3 +113,33 @@ def test_result_and_masks(spark):
     assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 1, 1, 1)
     assert pii.masked(text, brute(text)) == "é mail <email>, call <phone> or pay <card> from <ip>"
     assert pii.masked("abcdef", [(1, 0, 4), (2, 2, 5)]) == "a<email>f"
+
+
+def found(text):
+    return [text[c.start : c.end] for c in pii.candidates(text, pii.base_spans(text))]
+
+
+def test_tokens_of_any_length_and_named_values_are_candidates():
+    rng = random.Random(3)
+    signed = ".".join(("eyJ" + hexed(rng, 300), hexed(rng, 700), hexed(rng, 300)))
+    assert found(f"see {signed} there") == [signed]
+    key = hexed(rng, 2000) + CARD_NUMBER + "f" + hexed(rng, 2000)
+    assert found(f"key={key}") == [key]
+    for text, value in (("password: hunter2.", "hunter2"), ("PWD=swordfish", "swordfish"), ("'secret': 'Tr0ub4dor&3'", "Tr0ub4dor&3"), ("Bearer abc123", "abc123")):
+        assert found(text) == [value]
+    for text in ("the key idea of a secret garden", "password:", f"card key: {CARD_NUMBER}", "token: a@b.org"):
+        assert found(text) == []
+
+
+def test_a_long_token_is_masked(spark):
+    rng = random.Random(4)
+    signed = ".".join(("eyJ" + hexed(rng, 300), hexed(rng, 700), hexed(rng, 300)))
+    rows = [*corpus(), (1000, f"token = {signed} and on"), (1001, "password: hunter2secret99 and on")]
+    weights = pii.train(documents(spark, corpus()))
+    got = {r.doc_id: r.text for r in pii.redact(documents(spark, rows), weights).collect()}
+    assert got[1000] == "token = <secret> and on" and got[1001] == "password: <secret> and on"
+
+
+@pytest.mark.parametrize("text", ["key=" * 50_000 + "1", "key: " * 50_000, "a1" * 150_000, "a." * 150_000 + "1", "key 1.2.3.4 " * 20_000])
+def test_candidates_of_long_runs_take_linear_time(text):
+    pii.candidates(text, pii.base_spans(text))

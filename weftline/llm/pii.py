@@ -2,8 +2,9 @@
 
 The fixed patterns (e-mail, IP address, card and phone number) are leftmost, not
 overlapping per kind; matches that fail their check are dropped. Secrets (keys, tokens,
-passwords) have no fixed form: candidates are long tokens of letters and digits outside the
-other spans. Labelers by pattern, word list and context vote on each, or abstain.
+passwords) have no fixed form: candidates are tokens of letters and digits, 12 characters or
+more without an upper limit, and all values that a name marks (``password: ...``, or after a
+space alone what is no word of letters), outside the other spans; a number inside a token at least twice as long does not settle it. Labelers by pattern, word list and context vote on each, or abstain.
 Expectation-maximisation over the counts of vote patterns in the whole corpus estimates how
 reliable each labeler is; the resulting probabilities train a logistic classifier of the
 candidates' features, which makes the final choice. Counts are kept by vote pattern and
@@ -78,11 +79,21 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_/+=.-])[A-Za-z0-9_/+=.-]{12,512}(?![A-Za-z0-9_/+=.-])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_/+=.-])[A-Za-z0-9_/+=.-]{12,}+")
 _FORM = re.compile(r"AKIA[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{16,}|eyJ[\w-]{10,}\.[\w-]+\.[\w-]+")
 _PLAIN = re.compile(r"[0-9][0-9./-]*|[A-Za-z]+[-.][0-9.]+|(?:[a-z]+[/.-])+[a-z0-9]+|[A-Z]?[a-z]+[0-9]{1,4}")
 _NAMES = re.compile(r"(?:token|passw(?:or)?d|pwd|passphrase|secret|api[_-]?key|key|auth|bearer|credentials?)\W{0,6}$", re.I)
 _OTHER = re.compile(r"(?:isbn|order|invoice|article|model|page|version|ref(?:erence)?|no|file|figure|chapter|https?:\S*)\W{0,6}$", re.I)
+#: One of these is in every name.
+_STEMS = ("token", "passw", "pwd", "passphrase", "secret", "key", "auth", "bearer", "credential")
+#: Names with what stands between them and a value: a mark of assignment, or one space.
+_NAMED = re.compile(
+    r"(?:token|passw(?:or)?d|pwd|passphrase|secret|api[_-]?key|key|auth|bearer|credentials?)[\"'`]?"
+    r"(?:\s{0,3}(?P<mark>:=|=>|[=:])\s{0,3}|\s)[\"'`(\[{]?(?=[^\s\"'`<>])",
+    re.I,
+)
+_VALUE = re.compile(r"[^\s\"'`<>]++")
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*+")
 _HEX = re.compile(r"[0-9a-f]+")
 
 
@@ -98,26 +109,55 @@ def _entropy(token: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(token).values())
 
 
+def _places(text: str) -> list[tuple[int, int]]:
+    """Where candidates may be: long tokens with a letter and a digit, and values that a name marks."""
+    out = {}
+    if _DIGIT.search(text):
+        for m in _TOKEN.finditer(text):
+            # A name before "=" and marks around do not belong to the value.
+            head = m.group().rfind("=", 0, len(m.group().rstrip("=")))
+            start, end = m.start() + head + 1, m.end()
+            while end > start and text[end - 1] in ".-/+":
+                end -= 1
+            token = text[start:end]
+            n_digits = sum(c.isdigit() for c in token)
+            if len(token) >= 12 and n_digits and n_digits != sum(c.isalnum() for c in token):
+                out[start] = end
+    lower, at = text.lower(), 0
+    for m in _NAMED.finditer(text) if any(stem in lower for stem in _STEMS) else ():
+        if m.end() < at:
+            continue
+        start, end = m.end(), _VALUE.match(text, m.end()).end()
+        at = end
+        while end > start and text[end - 1] in ".,;:!?)]}":
+            end -= 1
+        # After a name and a space, a word is how the sentence goes on.
+        if end > start and (m["mark"] or not _WORD.fullmatch(text, start, end)) and text.rfind("=", start, end) + 1 not in out and start not in out:
+            out[start] = end
+    places: list[tuple[int, int]] = []
+    for start, end in sorted(out.items()):
+        if not places or start >= places[-1][1]:
+            places.append((start, end))
+    return places
+
+
 def candidates(text: str, taken: list[Span]) -> list[Candidate]:
-    """Tokens outside ``taken`` with a letter and a digit, their votes and their features."""
+    """Tokens and named values outside ``taken``, their votes and their features."""
     out = []
-    if not _DIGIT.search(text):
-        return out
-    for m in _TOKEN.finditer(text):
-        # A name before "=" and marks around do not belong to the value.
-        head = m.group().rfind("=", 0, len(m.group().rstrip("=")))
-        start, end = m.start() + head + 1, m.end()
-        while end > start and text[end - 1] in ".-/+":
-            end -= 1
+    near: list[Span] = []
+    ahead = 0
+    for start, end in _places(text):
         token = text[start:end]
         n_digits = sum(c.isdigit() for c in token)
-        if len(token) < 12 or not n_digits or n_digits == sum(c.isalnum() for c in token):
-            continue
-        if any(s < end and start < e for s, _, e in taken):
+        while ahead < len(taken) and taken[ahead][0] < end:
+            near.append(taken[ahead])
+            ahead += 1
+        near = [span for span in near if span[2] > start]
+        if any(not (start <= s and 2 * (e - s) <= end - start >= e - start) for s, _, e in near):
             continue
         before = text[max(0, start - 32) : start]
         bits = _entropy(token)
-        form, plain = bool(_FORM.fullmatch(token)), bool(_PLAIN.fullmatch(token))
+        form, plain = bool(_FORM.fullmatch(token)), bool(_PLAIN.fullmatch(token) or _WORD.fullmatch(token))
         named, other = bool(_NAMES.search(before)), bool(_OTHER.search(before))
         assigned = before.rstrip("\"'` ").endswith(("=", ":"))
         quoted = text[start - 1 : start] in ('"', "'", "`") and start > 0
