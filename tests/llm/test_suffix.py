@@ -71,3 +71,23 @@ def test_leftmost_smallest_of_a_window():
         values = rng.integers(0, 6, 200).astype(np.uint64)
         got = suffix._prefix_min(values, width)
         assert got.tolist() == [i + int(np.argmin(values[i : i + width])) for i in range(200 - width + 1)]
+
+
+@pytest.mark.parametrize("n", [8, 20, 30])
+def test_short_passages_equal_brute_force(spark, n):
+    rng = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(300)]
+    passages = [[rng.choice(vocabulary) for _ in range(rng.choice([n - 1, n, n + 1, 3 * n]))] for _ in range(12)]
+    rows = []
+    for doc in range(40):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3)):
+            words += rng.choice(passages) + [rng.choice(vocabulary) for _ in range(rng.randint(0, 10))]
+        rows.append((doc, " ".join(words)))
+    want = brute(rows, n)
+    assert want and spans(suffix.repeated_spans(documents(spark, rows), n)) == want
+
+
+def test_passages_below_a_gram_are_an_error(spark):
+    with pytest.raises(ValueError):
+        suffix.repeated_spans(documents(spark, [(1, "a b")]), suffix.GRAM - 1)

@@ -2,9 +2,10 @@
 
 A passage is repeated if ``min_words`` words in a row occur in at least two documents
 (words as they are, whatever separates them). Only suffixes at content-selected positions
-are kept: of every ``FIRST`` words at the beginning of a passage, the place of the
-smallest hash of ``GRAM`` words (a minimiser). Equal passages select equal places, and at
-least ``min_words - FIRST + GRAM`` words follow there. Suffixes are sorted by these words;
+are kept: of the ``FIRST`` words at the beginning of a passage (all ``min_words`` if those are
+fewer), the place of the smallest hash of ``GRAM`` words (a minimiser). Equal passages select
+equal places, and at least ``min_words - FIRST + GRAM`` words follow there; ``min_words`` below
+``GRAM`` are an error. Suffixes are sorted by these words;
 each task sorts its own and hands on one row per different beginning, so a passage that
 millions of documents share is a few rows, and the sorted runs are merged by range of the
 key. Neighbours that agree and come from different documents are candidates; their
@@ -53,7 +54,8 @@ class Anchors:
     def __init__(self, column: pa.Array, min_words: int):
         self.texts = texts = Texts(column)
         self.words = texts.word_hash()
-        self.after = min_words - FIRST + GRAM
+        first = min(FIRST, min_words)
+        self.after = min_words - first + GRAM
         owner = texts.word_text()
         n = len(self.words) - min_words + 1
         whole = owner[: max(n, 0)] == owner[min_words - 1 :] if n > 0 else np.empty(0, dtype=bool)
@@ -61,7 +63,7 @@ class Anchors:
         self.window = np.flatnonzero(whole)
         if len(self.window):
             grams = window_hash(self.words, GRAM)
-            self.anchor = _prefix_min(grams, FIRST - GRAM + 1)[self.window]
+            self.anchor = _prefix_min(grams, first - GRAM + 1)[self.window]
         else:
             self.anchor = self.window
         self.owner = owner[self.window]
@@ -115,6 +117,8 @@ NO_ID = -(1 << 63)
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Spans of ``docs`` (``doc_id`` long, ``text``) that other documents share; see the module."""
+    if min_words < GRAM:
+        raise ValueError(f"min_words is {min_words}, at least {GRAM} are needed")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
