@@ -143,3 +143,9 @@ def test_a_long_token_is_masked(spark):
 @pytest.mark.parametrize("text", ["key=" * 50_000 + "1", "key: " * 50_000, "a1" * 150_000, "a." * 150_000 + "1", "key 1.2.3.4 " * 20_000])
 def test_candidates_of_long_runs_take_linear_time(text):
     pii.candidates(text, pii.base_spans(text))
+
+
+def test_a_url_of_any_length_is_seen_before_a_token():
+    rng = random.Random(5)
+    text = f"see https://example.org/{'path/' * 20}?session&x={hexed(rng, 20)} and {hexed(rng, 20)} there"
+    assert [c.votes[3] for c in pii.candidates(text, [])][-2:] == [0, -1]

@@ -84,6 +84,7 @@ _FORM = re.compile(r"AKIA[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{2
 _PLAIN = re.compile(r"[0-9][0-9./-]*|[A-Za-z]+[-.][0-9.]+|(?:[a-z]+[/.-])+[a-z0-9]+|[A-Z]?[a-z]+[0-9]{1,4}")
 _NAMES = re.compile(r"(?:token|passw(?:or)?d|pwd|passphrase|secret|api[_-]?key|key|auth|bearer|credentials?)\W{0,6}$", re.I)
 _OTHER = re.compile(r"(?:isbn|order|invoice|article|model|page|version|ref(?:erence)?|no|file|figure|chapter|https?:\S*)\W{0,6}$", re.I)
+_URL = re.compile(r"https?:\S*+", re.I)
 #: One of these is in every name.
 _STEMS = ("token", "passw", "pwd", "passphrase", "secret", "key", "auth", "bearer", "credential")
 #: Names with what stands between them and a value: a mark of assignment, or one space.
@@ -146,6 +147,8 @@ def candidates(text: str, taken: list[Span]) -> list[Candidate]:
     out = []
     near: list[Span] = []
     ahead = 0
+    urls = _URL.finditer(text)
+    url = next(urls, None)
     for start, end in _places(text):
         token = text[start:end]
         n_digits = sum(c.isdigit() for c in token)
@@ -155,10 +158,12 @@ def candidates(text: str, taken: list[Span]) -> list[Candidate]:
         near = [span for span in near if span[2] > start]
         if any(not (start <= s and 2 * (e - s) <= end - start >= e - start) for s, _, e in near):
             continue
+        while url and url.end() < start:
+            url = next(urls, None)
         before = text[max(0, start - 32) : start]
         bits = _entropy(token)
         form, plain = bool(_FORM.fullmatch(token)), bool(_PLAIN.fullmatch(token) or _WORD.fullmatch(token))
-        named, other = bool(_NAMES.search(before)), bool(_OTHER.search(before))
+        named, other = bool(_NAMES.search(before)), bool(_OTHER.search(before) or (url and url.start() < start < url.end()))
         assigned = before.rstrip("\"'` ").endswith(("=", ":"))
         quoted = text[start - 1 : start] in ('"', "'", "`") and start > 0
         votes = (
