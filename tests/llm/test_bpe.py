@@ -60,6 +60,16 @@ def test_long_parts_are_split_bit_by_bit(codec, library, monkeypatch):
     assert encode(codec, [text, "a b"]) == [library.encode_ordinary(t) for t in (text, "a b")]
 
 
+def merge_one_by_one(ranks, piece):
+    parts = [bytes([c]) for c in piece]
+    while True:
+        found = [(ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
 def test_any_rank_table_merges_the_lowest_rank_first():
     # Random tables, in which a merge may open a pair of a lower rank.
     rng = random.Random(3)
@@ -76,14 +86,16 @@ def test_any_rank_table_merges_the_lowest_rank_first():
         pieces = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 30))) for _ in range(8)]
         ids, border = merges.run(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)]))
         for piece, a, b in zip(pieces, border, border[1:]):
-            parts = [bytes([c]) for c in piece]
-            while True:
-                found = [(ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks]
-                if not found:
-                    break
-                _, i = min(found)
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            assert ids[a:b].tolist() == [ranks[p] for p in parts]
+            assert ids[a:b].tolist() == merge_one_by_one(ranks, piece)
+
+
+def test_a_chain_with_a_lower_merge_inside():
+    tokens = [bytes([b]) for b in range(256)]
+    ranks = {t: i for i, t in enumerate([*tokens, b"aaa", b"aa", b"aaaa"])}
+    merges = bpe.Merges(ranks)
+    for n in range(1, 40):
+        ids, _ = merges.run(np.frombuffer(b"a" * n, np.uint8), np.array([0, n]))
+        assert ids.tolist() == merge_one_by_one(ranks, b"a" * n)
 
 
 def test_rank_set():

@@ -79,7 +79,7 @@ def test_plan_places_every_piece_once(seed):
     counts = {rng.randint(1, capacity): rng.randint(1, 40) for _ in range(rng.randint(1, 200))}
     moves = packing.plan(counts, capacity)
     used, ranks = {}, {}
-    for length, rank, n, first, offset in moves.tolist():
+    for length, rank, n, first, offset in sorted(moves.tolist(), key=lambda move: move[4]):
         ranks.setdefault(length, []).extend(range(rank, rank + n))
         for s in range(first, first + n):
             assert used.get(s, 0) == offset

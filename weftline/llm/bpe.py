@@ -100,8 +100,8 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.made[at], -1)
 
-    def _until_lower(self, rank, at, ids, after, before, piece) -> tuple[np.ndarray, np.ndarray]:
-        """Split a sorted bucket: what can be merged at once, and what must wait.
+    def _until_lower(self, rank, at, ids, after, before, piece) -> np.ndarray:
+        """What can be merged at once of a sorted bucket.
 
         In each piece, entries are merged up to and with the first whose merge opens a pair
         of a lower rank; that pair comes before the entries behind it.
@@ -117,8 +117,7 @@ class Merges:
         before_it = np.cumsum(lower) - lower
         owner = piece[at]
         first = np.searchsorted(owner, owner)
-        now = before_it == before_it[first]
-        return at[now], at[~now]
+        return at[before_it == before_it[first]]
 
     def run(self, data: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces ``data[border[i] : border[i + 1]]``, and the borders of their ids."""
@@ -156,8 +155,8 @@ class Merges:
             rank = queue.first()
             queue.remove(rank)
             entries = buckets.pop(rank)
-            at = np.unique(np.concatenate(entries)) if len(entries) > 1 else entries[0]
-            at = at[pair[at] == rank]
+            at = np.unique(np.concatenate(entries))
+            at = valid = at[pair[at] == rank]
             if not len(at):
                 continue
             if len(at) > 1:
@@ -168,7 +167,9 @@ class Merges:
                     opens = np.where(np.append(True, ~chained), place, 0)
                     at = at[(place - np.maximum.accumulate(opens)) % 2 == 0]
                 if rank in self.restless:
-                    at, wait = self._until_lower(rank, at, ids, after, before, piece)
+                    at = self._until_lower(rank, at, ids, after, before, piece)
+                    # Also those left out of a chain: a lower merge may free them.
+                    wait = np.setdiff1d(valid, at, assume_unique=True)
                     if len(wait):
                         buckets[rank] = [wait]
                         queue.add(rank)
