@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op9_html_extraction": "page_id url text n_chars",
     "op10_language_id": "doc_id held_out lang_pred score",
+    "op11_ranked_search": "item_id rank doc_id score",
+    "op12_source_mix": "doc_id size source_size target taken",
+    "op13_tokenizer_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 
 

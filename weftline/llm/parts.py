@@ -58,12 +58,14 @@ def units(data: np.ndarray, border: np.ndarray) -> np.ndarray:
 class PartCache:
     """Encodes columns of texts; ``make`` gives the ids (little-endian, 32 bits) of new, different parts.
 
-    ``lower`` is for tokenizers that fold A-Z anyway: it makes the parts fewer.
+    ``lower`` is for tokenizers that fold A-Z anyway: it makes the parts fewer. ``cuts`` says
+    where a text may be cut into parts.
     """
 
-    def __init__(self, make: Callable[[list[str]], dict[str, bytes]], lower: bool = False):
+    def __init__(self, make: Callable[[list[str]], dict[str, bytes]], lower: bool = False, cuts: Callable = units):
         self.make = make
         self.lower = lower
+        self.cuts = cuts
         self.known: dict[str, bytes] = {}
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +77,7 @@ class PartCache:
         border = border - border[0]
         if self.lower:
             data = _LOWER[data]
-        cuts = units(data, border)
+        cuts = self.cuts(data, border)
         if len(cuts) < 2:
             return np.empty(0, "<u4"), np.zeros(len(column) + 1, np.int64)
         parts = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data))

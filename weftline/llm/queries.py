@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, html, langid, linkgraph, neardup, packing, pii, quality, suffix
+from . import alignment, bpe, exact, html, langid, linkgraph, mixing, neardup, packing, pii, quality, search, suffix
 from .sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,4 +92,26 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits", "margin", "rejected")
 
 
+@query("op11_ranked_search")
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+@query("op12_source_mix")
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix as large as the table; a quarter and a half of it are nested in it (``quarter``, ``half``)."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), budgets=(0.25, 0.5, 1.0))
+    quarter, half, whole = (F.element_at("mixes", k) for k in (1, 2, 3))
+    return mixed.select(
+        "doc_id", "size", "source_size", whole["target"].alias("target"), whole["taken"].alias("taken"),
+        quarter["taken"].alias("quarter"), half["taken"].alias("half"),
+    )
+
+
+@query("op13_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), first, second)
+
+
 __all__ = ["QUERIES", "SQL"]

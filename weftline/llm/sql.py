@@ -118,3 +118,67 @@ def _link_graph(rounds: int = 10) -> str:
 
 
 SQL["op7_link_graph"] = _link_graph()
+
+
+def _source_mix() -> str:
+    """Targets by the first source (by size a weight) that is not capped; documents by running sums in the order of the hash."""
+
+    def level(k: int, share: str) -> str:
+        return f"""level{k} AS (SELECT (round({share} * total)::BIGINT - capped)::DOUBLE / left_weight AS level
+          FROM filling WHERE (round({share} * total)::BIGINT - capped)::DOUBLE / left_weight * weight <= 3 * source_size
+          ORDER BY source_size / weight, source NULLS LAST LIMIT 1),
+        goal{k} AS (SELECT source, source_size, least((SELECT level FROM level{k}) * weight, 3 * source_size) AS target FROM weighted),
+        plan{k} AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target + 0.5)::BIGINT // source_size END AS whole,
+          floor(target + 0.5)::BIGINT AS words FROM goal{k})"""
+
+    def taken(k: int) -> str:
+        rest = f"(p{k}.words - p{k}.whole * p{k}.source_size)"
+        return f"size * (p{k}.whole + CASE WHEN before + size <= {rest} OR (before <= {rest} AND 2 * ({rest} - before) > size) THEN 1 ELSE 0 END)"
+
+    shares = {1: "0.25::DOUBLE", 2: "0.5::DOUBLE", 3: "1"}
+    return rf"""WITH docs AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+        ('0x' || md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, ''))[1:15])::BIGINT AS h FROM documents),
+    ordered AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS position FROM docs GROUP BY source),
+    weighted AS (SELECT source, source_size, 1 + position % 3 AS weight FROM ordered),
+    filling AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total, coalesce(sum(3 * source_size) OVER before_it, 0)::BIGINT AS capped,
+        (sum(weight) OVER () - coalesce(sum(weight) OVER before_it, 0))::BIGINT AS left_weight FROM weighted
+      WINDOW before_it AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    {", ".join(level(k, s) for k, s in shares.items())},
+    placed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h ROWS UNBOUNDED PRECEDING)::BIGINT - size AS before FROM docs)
+    SELECT doc_id, size, p3.source_size, p3.target, {taken(3)} AS taken, {taken(1)} AS quarter, {taken(2)} AS half
+    FROM placed d JOIN plan1 p1 ON d.source IS NOT DISTINCT FROM p1.source JOIN plan2 p2 ON d.source IS NOT DISTINCT FROM p2.source
+    JOIN plan3 p3 ON d.source IS NOT DISTINCT FROM p3.source"""
+
+
+SQL["op12_source_mix"] = _source_mix()
+
+SQL["op11_ranked_search"] = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), docs AS (SELECT r, doc_id, terms, len(terms) AS n FROM words WHERE len(terms) > 0),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM docs),
+asked AS (
+  SELECT q, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), held AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM held, total GROUP BY term, docs
+), part AS (
+  SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * total.docs) // total.terms))) AS part
+  FROM held JOIN weight USING (term) JOIN docs USING (r), total
+), scored AS (
+  SELECT q, item_id, r, sum(times * part)::BIGINT AS score FROM asked JOIN part USING (term) GROUP BY ALL
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM scored JOIN docs USING (r) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
