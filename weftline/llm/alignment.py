@@ -25,8 +25,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.lookup import lookup
 from ..session import cut_lineage
-from .parts import WIDE_SPACE, PartCache, gather
+from .parts import CACHE_CHARS, WIDE_SPACE, gather
 from .words import SPACE, slices, sums
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+CACHE = 200_000
 LANE = 64
 #: So many pairs of ids, at most, are broadcast (16 bytes each).
 MAX_PAIRS = 4_000_000
 #: So many pairs are counted at once in a task.
-COUNT_AT_ONCE = 8 << 20
+COUNT_AT_ONCE = 4 << 20
 
 FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -84,7 +86,11 @@ def before_blanks(data: np.ndarray, border: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(cut), [n]]) if n else np.zeros(1, np.int64)
 
 
-def byte_level(model: str) -> tuple[PartCache, Tokens]:
+Encode = Callable[[list[str]], list[np.ndarray]]
+
+
+def byte_level(model: str) -> tuple[Encode, Tokens]:
+    """Encodes parts that begin with a blank; the bytes of the ids."""
     # Tasks share the cores already.
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -97,14 +103,14 @@ def byte_level(model: str) -> tuple[PartCache, Tokens]:
         i: token.encode() if token in added else bytes(byte[c] for c in token) for token, i in tokenizer.get_vocab().items()
     }
 
-    def make(parts: list[str]) -> dict[str, bytes]:
-        coded = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return {part: np.array(e.ids, "<u4").tobytes() for part, e in zip(parts, coded)}
+    def make(parts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    return PartCache(make, cuts=before_blanks), Tokens(entries)
+    return make, Tokens(entries)
 
 
-def pieces(model: bytes) -> tuple[PartCache, Tokens]:
+def pieces(model: bytes) -> tuple[Encode, Tokens]:
+    """Encodes parts that begin with a blank; the bytes of the ids."""
     from sentencepiece import SentencePieceProcessor
 
     processor = SentencePieceProcessor(model_proto=model)
@@ -115,19 +121,57 @@ def pieces(model: bytes) -> tuple[PartCache, Tokens]:
             entries[i] = bytes([int(piece[3:-1], 16)])
         elif not (processor.is_control(i) or processor.is_unknown(i)):
             entries[i] = piece.replace("▁", " ").encode()
-    blank = np.array([processor.piece_to_id("▁")], "<u4").tobytes()
+    blank = [processor.piece_to_id("▁")]
 
-    def make(parts: list[str]) -> dict[str, bytes]:
-        # Each part begins with the blank that the model itself puts before a text, but not before an empty one.
+    def make(parts: list[str]) -> list[np.ndarray]:
+        # The model itself puts a blank before a text, but not before an empty one.
         coded = processor.encode([part[1:] for part in parts], num_threads=1)
-        return {part: np.array(ids, "<u4").tobytes() if part != " " else blank for part, ids in zip(parts, coded)}
-
-    return PartCache(make, cuts=before_blanks), Tokens(entries)
+        return [np.array(ids if part != " " else blank, "<u4") for part, ids in zip(parts, coded)]
+
+    return make, Tokens(entries)
+
+
+class Both:
+    """Both tokenizers of a worker, and the ids of parts it has seen: at most ``CACHE`` of at most ``CACHE_CHARS`` characters."""
+
+    def __init__(self, first: str, second: bytes):
+        (self.first, tokens_a), (self.second, tokens_b) = byte_level(first), pieces(second)
+        self.tokens = [tokens_a, tokens_b]
+        #: The number of ids of the first tokenizer, these, and those of the second.
+        self.known: dict[str, bytes] = {}
+
+    def _new(self, parts: list[str]) -> dict[str, bytes]:
+        return {
+            part: np.array([len(a)], "<u4").tobytes() + a.tobytes() + b.tobytes()
+            for part, a, b in zip(parts, self.first(parts), self.second(parts))
+        }
+
+    def encode(self, data: np.ndarray, border: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids of all texts by both, and the borders of texts among them."""
+        cuts = before_blanks(data, border)
+        if len(cuts) < 2:
+            return [np.empty(0, np.int64)] * 2, [np.zeros(len(border), np.int64)] * 2
+        parts = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data))
+        codes = parts.dictionary_encode()
+        distinct = codes.dictionary.to_pylist()
+        made = self._new([part for part in distinct if part not in self.known])
+        coded = [made[part] if part in made else self.known[part] for part in distinct]
+        if len(self.known) + len(made) > CACHE:
+            self.known.clear()
+        self.known.update(islice(((m, v) for m, v in made.items() if len(m) <= CACHE_CHARS), CACHE))
+        start = np.cumsum([0, *map(len, coded)]) // 4
+        packed = np.frombuffer(b"".join(coded), "<u4")
+        n_a = packed[start[:-1]].astype(np.int64)
+        lengths = [n_a, np.diff(start) - 1 - n_a]
+        kind = np.repeat(np.tile([2, 0, 1], len(coded)), np.stack([np.ones_like(n_a), *lengths], axis=1).ravel())
+        at, which = np.searchsorted(cuts, border), codes.indices.to_numpy()
+        out = [gather(packed[kind == i], np.cumsum(np.append(0, lengths[i])), which) for i in (0, 1)]
+        return [ids.astype(np.int64) for ids, _ in out], [totals[at] for _, totals in out]
 
 
 @cache
-def _both(first: str, second: bytes) -> tuple:
-    return *byte_level(first), *pieces(second)
+def _both(first: str, second: bytes) -> Both:
+    return Both(first, second)
 
 
 def search_on(ends: np.ndarray, wanted: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -236,29 +280,24 @@ def group_hashes(ids, border, closes, written: Written) -> list[str]:
     return [hashlib.sha256(data[a : b - 1]).hexdigest() if b > a else "" for a, b in zip(cuts, cuts[1:])]
 
 
-def encode(texts: pa.Array, tokenizers: tuple) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def encode(texts: pa.Array, both: Both) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids and borders of both tokenizers; texts that one of them does not give back have none."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    spaced = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
-    size = pc.binary_length(spaced).to_numpy(zero_copy_only=False)
+    blank, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+    spaced = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(blank, texts, nothing))
     start = np.frombuffer(spaced.buffers()[1], np.int64)[spaced.offset : spaced.offset + len(spaced) + 1]
     data = np.frombuffer(spaced.buffers()[2] or b"", np.uint8)[start[0] : start[-1]]
-    ids, border = [], []
+    start = start - start[0]
+    size = np.diff(start)
+    ids, border = both.encode(data, start)
     good = np.ones(len(size), dtype=bool)
-    for cache_, tokens in (tokenizers[:2], tokenizers[2:]):
-        found, cuts = cache_.encode(spaced)
-        found = found.astype(np.int64)
+    for tokens, found, cuts in zip(both.tokens, ids, border):
         same = sums(tokens.length[found], cuts) == size
-        if same.all():
-            wrong = np.flatnonzero(tokens.of(found) != data)
-        else:
-            made = tokens.of(found[np.repeat(same, np.diff(cuts))])
-            where = np.flatnonzero(np.repeat(same, size))
-            wrong = where[made != data[where]]
+        where = None if same.all() else np.flatnonzero(np.repeat(same, size))
+        made = tokens.of(found if where is None else found[np.repeat(same, np.diff(cuts))])
+        wrong = np.flatnonzero(made != (data if where is None else data[where]))
         good &= same
-        good[np.searchsorted(start - start[0], wrong, "right") - 1] = False
-        ids.append(found)
-        border.append(cuts)
+        good[np.searchsorted(start, wrong if where is None else where[wrong], "right") - 1] = False
     if not good.all():
         for i in (0, 1):
             n = np.diff(border[i])
@@ -274,17 +313,17 @@ def aligned(docs: DataFrame, first: str, second: str) -> tuple[DataFrame, int, i
     """
     with open(first) as f, open(second, "rb") as g:
         models = f.read(), g.read()
-    n_a, n_b = (len(t.length) for t in _both(*models)[1::2])
+    n_a, n_b = (len(t.length) for t in _both(*models).tokens)
     wide = n_a * n_b >= 1 << 31
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers = _both(*shared.value)
+        both = _both(*shared.value)
         written = _written(max(n_a, n_b))
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
-                ids, border = encode(part.column("text"), tokenizers)
-                ends = tuple(np.cumsum(t.length[i]) for t, i in zip(tokenizers[1::2], ids))
+                ids, border = encode(part.column("text"), both)
+                ends = tuple(np.cumsum(t.length[i]) for t, i in zip(both.tokens, ids))
                 a, b, *closes = overlaps(ends, border)
                 text = np.repeat(np.arange(part.num_rows), np.diff(border[0]))[a]
                 keys = text * (n_a * n_b) + ids[0][a] * n_b + ids[1][b]
