@@ -7,7 +7,7 @@ and those below a threshold of a hash once more. The hash covers identity and te
 reruns agree, and the documents of a smaller budget are always among those of a larger one.
 
 The thresholds come from histograms: words are summed per source and bucket of the hash's
-first bits; running sums over the buckets of a source (at most 32,768) show in which the
+first bits; running sums over the buckets of a source (1,024) show in which the
 rest ends; only the rows of that bucket are summed again by the next bits, until it
 holds one row. That row is taken if this brings the source nearer to its target, so a source
 misses its target by at most half of one document's words. Rows that repeat each other
@@ -33,8 +33,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Shift and number of bits of each histogram: over the hash (60 bits), then over the row number.
-LEVELS = [("h", 45, 15), ("h", 30, 15), ("h", 15, 15), ("h", 0, 15), ("tie", 48, 16), ("tie", 32, 16), ("tie", 16, 16), ("tie", 0, 16)]
+#: What each histogram is over: ten bits of the hash (60 bits) at a time, then of the row number (63 bits). The shift of the bits.
+LEVELS = [*(("h", shift) for shift in range(50, -1, -10)), *(("tie", shift) for shift in (53, 43, 33, 23, 13, 3, 0))]
 RANGES = 64
 BROADCAST_BYTES = 16 << 20
 SALTS = 64
@@ -111,7 +111,7 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     state = wanted.where("rest > 0").select("source", "k", "rest", zero.alias("h_low"), zero.alias("tie_low"))
     found, previous = None, None
-    for name, shift, _ in LEVELS:
+    for name, shift in LEVELS:
         if previous is not None:
             # Only rows of the buckets in which a rest ends; the buckets of two budgets may be the same.
             own = [_floor(F.col("h"), previous["h"]).alias("h_low"), _floor(F.col("tie"), previous["tie"]).alias("tie_low")]
