@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.operators import ordering
 from weftline.operators.ordering import with_offsets, with_ordinal
 
 
@@ -78,3 +79,45 @@ def test_no_single_partition_over_rows(spark):
     df = spark.range(1000).repartition(8)
     plan = with_ordinal(df, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "hashpartitioning(_range" in plan
+
+
+def test_long_common_prefixes_fall_into_all_ranges(spark):
+    df = spark.createDataFrame(shuffled((("p" * 300 + f"{i:05d}", i) for i in range(4000))), "k string, i int")
+    rows = with_offsets(df.repartition(7), ["k"], ranges=16).select("i", "ord", "_range").collect()
+    assert all(r["i"] == r["ord"] for r in rows)
+    per_range = [sum(r["_range"] == n for r in rows) for n in range(16)]
+    assert min(per_range) > 0 and max(per_range) <= 2 * 4000 / 16
+
+
+def test_ranges_are_chosen_by_lengths(spark):
+    # The first keys hold nearly all ids.
+    lengths = [100_000 if i < 40 else 1 for i in range(4000)]
+    df = spark.createDataFrame(shuffled(enumerate(lengths)), "k int, n int")
+    rows = with_offsets(df, ["k"], F.col("n"), ranges=16).select("n", "_range").collect()
+    share = (sum(lengths) + 4000) / 16
+    for n in {r["_range"] for r in rows}:
+        assert sum(r["n"] for r in rows if r["_range"] == n) <= share + 100_000
+
+
+def test_few_bytes_for_bounds_give_fewer_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "BOUND_BYTES", 3 * 330)
+    df = spark.createDataFrame([("p" * 300 + f"{i:05d}", i) for i in range(200)], "k string, i int")
+    rows = with_offsets(df, ["k"], ranges=16).collect()
+    assert all(r["i"] == r["ord"] for r in rows) and len({r["_range"] for r in rows}) <= 3
+
+
+def test_a_tie_is_an_error(spark):
+    df = spark.createDataFrame([(i % 50, 1) for i in range(51)], "k int, n int")
+    with pytest.raises(Exception, match="two rows with the same k"):
+        with_ordinal(df, ["k"], ranges=4).collect()
+    for key in (None, float("nan")):
+        with pytest.raises(Exception, match="two rows with the same k"):
+            with_ordinal(spark.createDataFrame([(key,), (key,)], "k double"), ["k"]).collect()
+    ords = [r["ord"] for r in with_ordinal(df, ["k"], ranges=4, ties=True).collect()]
+    assert sorted(ords) == list(range(51))
+
+
+def test_bounds_are_not_in_the_plan(spark):
+    df = spark.createDataFrame([(f"key-{i:04d}",) for i in range(500)], "k string").repartition(3)
+    plan = with_ordinal(df, ["k"], ranges=50)._jdf.queryExecution().toString()
+    assert "key-0" not in plan

@@ -1,11 +1,16 @@
 """Row ordinals and running offsets over a whole table, without one big window.
 
-Rows are cut into key ranges whose bounds are constants in the plan. A row's
-range depends on its key alone, so a task that runs again after an executor was
-lost puts every row where it was before. Per-range totals (one small row per
-range) give each range its base; a window inside the range does the rest.
-
-The order columns must identify a row: with ties the ordinal is not defined.
+The keys (order columns and length of every row) are written and sorted over the cluster by
+Spark's own range partitioning. Running sums over them are exact, so the key ranges that the
+rows are then cut into are chosen by what they hold: no range has more than one and a quarter
+of its share of the lengths and rows, plus one row. First keys, rows and lengths of all ranges are
+one written row. A row finds its range by bisection over the first keys, which the running
+query reads and which are not part of its plan: a task that runs again after an executor
+was lost puts every row where it was before. A window inside the range does the rest.
+
+The order columns must identify a row, or it is an error. With ``ties`` equal keys share a
+range and take their places among each other in any order; for rows that are the same
+in all that matters.
 """
 
 from __future__ import annotations
@@ -13,93 +18,101 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Mapping, Sequence
-from itertools import accumulate
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame, Observation, Row, Window, functions as F
 
 from ..session import cut_lineage
 
 MAX_RANGES = 65_536
 ROWS_PER_RANGE = 100_000
-SAMPLES_PER_RANGE = 8
-BOUND_CHARS = 256
+#: The first keys of all ranges together have at most about so many bytes as JSON; there are fewer ranges if need be.
+BOUND_BYTES = 64 << 20
 
 HIDDEN = ("_len", "_range", "_lo", "_hi", "_base")
 
 
-def _bounds(keys: DataFrame, order: Sequence[str], ranges: int | None) -> list[str]:
-    """Keys (as JSON) that cut the table into ranges of about equal size.
+#: Cells a range, from which ranges are put together.
+CELLS = 4
+
+
+@dataclass
+class Ranges:
+    """``n`` ranges, described by one written row.
 
-    The sample has about ``MAX_RANGES * SAMPLES_PER_RANGE`` keys at most, however long
-    the table is. Rows are sampled by a hash of their key, so the choice does not
-    depend on the partitioning.
+    It has the arrays ``keys`` (the first keys of all ranges but the first, ascending), ``first``
+    (rows before each range), ``lo`` and ``hi`` (lengths before it and up to its end).
     """
-    total = keys.count()
-    if ranges is None:
-        cores = keys.sparkSession.sparkContext.defaultParallelism
-        ranges = max(4 * cores, math.ceil(total / ROWS_PER_RANGE))
-    ranges = min(ranges, MAX_RANGES, total)
-    if ranges < 2:
-        return []
-    every = total // (ranges * SAMPLES_PER_RANGE)
-    if every > 1:
-        keys = keys.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0)
-    # A prefix of a long string separates as well and keeps the bounds small.
-    keys = keys.select(
-        *[
-            F.substring(c, 1, BOUND_CHARS).alias(c) if keys.schema[c].dataType == StringType() else F.col(c)
-            for c in order
-        ]
-    )
-    sampled = keys.agg(F.sort_array(F.collect_set(F.struct(*order))).alias("_keys"))
-    step = F.greatest(F.ceil(F.size("_keys") / F.lit(ranges)), F.lit(1))
-    cuts = F.filter("_keys", lambda key, i: (i > 0) & (i % F.col("_step") == 0))
-    found = sampled.withColumn("_step", step).select(F.transform(cuts, lambda key: F.to_json(key)))
-    return found.first()[0]
 
+    n: int
+    row: DataFrame
 
-def _with_range(df: DataFrame, order: Sequence[str], bounds: list[str]) -> DataFrame:
-    """Add ``_range``, the number of bounds at or below the row's key.
+    def __getitem__(self, name: str) -> Column:
+        return self.row.scalar()[name]
 
-    The search has two levels, so a row compares with about ``2 * sqrt(bounds)`` keys.
-    """
-    if not bounds:
-        return df.withColumn("_range", F.lit(0))
-    width = math.isqrt(len(bounds)) + 1
-    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    item = StructType([StructField(c, df.schema[c].dataType) for c in order])
-
-    def constant(rows: Sequence[str]) -> Column:
-        return F.from_json(F.lit("[" + ",".join(rows) + "]"), ArrayType(item))
-
-    def at_or_below(values: Column) -> Column:
-        if len(order) == 1:
-            # NULL sorts first.
-            below = F.filter(
-                values, lambda b: F.coalesce(b[order[0]] <= F.col(order[0]), b[order[0]].isNull())
-            )
-        else:
-            below = F.filter(values, lambda b: b <= F.struct(*order))
-        return F.size(below)
-
-    nested = F.from_json(
-        F.lit("[" + ",".join("[" + ",".join(g) + "]" for g in groups) + "]"),
-        ArrayType(ArrayType(item)),
+    def of_row(self, name: str) -> Column:
+        return F.get(self[name], F.col("_range"))
+
+
+def _ranges(keys: DataFrame, seen: Row, order: Sequence[str], ranges: int | None, ties: bool) -> Ranges:
+    """Cut written keys (``order``, ``_len``) into ranges of about equal weight: length and one a row."""
+    spark, key = keys.sparkSession, F.struct(*order)
+    weight = seen["rows"] + seen["sum"]
+    if ranges is None:
+        ranges = max(4 * spark.sparkContext.defaultParallelism, math.ceil(seen["rows"] / ROWS_PER_RANGE))
+    ranges = max(1, min(ranges, MAX_RANGES, seen["rows"], BOUND_BYTES // (seen["key_bytes"] + 1)))
+    spread = keys.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("_part").orderBy(*order)
+    # Equal keys have the same sum, hence the same cell.
+    upto = F.sum(F.col("_len") + 1).over(inside.rangeBetween(Window.unboundedPreceding, 0))
+    if not ties:
+        tie = F.coalesce(F.lag(key).over(inside) == key, F.lit(False))
+        said = F.concat(F.lit(f"two rows with the same {', '.join(order)}: "), F.to_json(key))
+        upto = F.when(tie, F.raise_error(said).cast("bigint")).otherwise(upto)
+
+    def cell(sums: str, parts: int) -> Column:
+        return F.expr(f"cast(cast({sums} - 1 as decimal(38, 0)) * {parts} div {max(weight, 1)} as bigint)")
+
+    cells = (
+        spread.withColumn("_upto", upto)
+        .groupBy("_part", cell("_upto", CELLS * ranges).alias("_cell"))
+        .agg(F.min(key).alias("_key"), F.count(F.lit(1)).alias("_rows"), F.sum("_len").alias("_sum"))
     )
-    inside = at_or_below(F.element_at(nested, F.col("_group")))
-    place = F.when(F.col("_group") == 0, 0).otherwise((F.col("_group") - 1) * width + inside)
-    return (
-        df.withColumn("_group", at_or_below(constant([g[0] for g in groups])))
-        .withColumn("_range", place)
-        .drop("_group")
+    # At most (CELLS + 1) * MAX_RANGES rows, then at most MAX_RANGES.
+    along = Window.orderBy("_part", "_cell").rowsBetween(Window.unboundedPreceding, 0)
+    merged = (
+        cells.withColumn("_all", F.sum(F.col("_sum") + F.col("_rows")).over(along))
+        .groupBy(cell("_all", ranges).alias("_cell"))
+        .agg(F.min("_key").alias("_key"), F.sum("_rows").alias("_rows"), F.sum("_sum").alias("_sum"))
     )
+    running = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    hi = F.sum("_sum").over(running)
+    first = F.sum("_rows").over(running) - F.col("_rows")
+    n = Observation()
+    listed = merged.select("_cell", "_key", first.alias("first"), (hi - F.col("_sum")).alias("lo"), hi.alias("hi"))
+    listed = listed.observe(n, F.count(F.lit(1)).alias("n")).agg(F.sort_array(F.collect_list(F.struct("_cell", "_key", "first", "lo", "hi"))).alias("_r"))
+    arrays = [F.slice("_r._key", F.lit(2), F.greatest(F.size("_r") - 1, F.lit(0))).alias("keys"), *[F.col(f"_r.{c}").alias(c) for c in ("first", "lo", "hi")]]
+    row = cut_lineage(listed.select(F.struct(*arrays).alias("ranges")), "ranges")
+    return Ranges(n.get["n"], row)
+
+
+def _with_range(df: DataFrame, order: Sequence[str], found: Ranges) -> DataFrame:
+    """Add ``_range``, the number of first keys at or below the row's key, one bisection step after the other."""
+    df = df.withColumn("_range", F.lit(0))
+    if found.n < 2:
+        return df
+    step = 1 << (found.n - 1).bit_length() - 1
+    while step:
+        on = F.coalesce(F.get(found["keys"], F.col("_range") + (step - 1)) <= F.struct(*order), F.lit(False))
+        df = df.withColumn("_range", F.when(on, F.col("_range") + step).otherwise(F.col("_range")))
+        step >>= 1
+    return df
 
 
 def _constants(values: Sequence[int]) -> Column:
     """One number per range, looked up by the row's range."""
     listed = F.from_json(F.lit(json.dumps(list(values))), "array<bigint>")
-    return F.element_at(listed, F.col("_range") + 1)
+    return F.get(listed, F.col("_range"))
 
 
 def with_offsets(
@@ -109,6 +122,7 @@ def with_offsets(
     groups: Mapping[str, Column] | None = None,
     ranges: int | None = None,
     staged: bool = False,
+    ties: bool = False,
 ) -> DataFrame:
     """Add ``ord`` (dense, from 0) and ``start`` (sum of the lengths before).
 
@@ -118,38 +132,36 @@ def with_offsets(
 
     ``df`` is read twice: once for keys and lengths only, which are kept in the
     shared folder, and once in full. With ``staged`` (``df`` is a written table whose
-    lengths are cheap) keys are read in place instead. Rows move in one shuffle, by range. Lengths
-    are computed before it; build long id arrays after this call, so that the
-    shuffle moves the shorter source text. What reaches the driver is a few numbers
-    per range, at most ``MAX_RANGES`` times.
+    lengths are cheap) keys are read in place instead. Full rows move in one shuffle, by range.
+    Lengths are computed before it; build long id arrays after this call, so that the
+    shuffle moves the shorter source text. Nothing of the table reaches the driver but counts
+    and, with ``groups``, a few numbers per range.
     """
     order = list(order)
     # A row without a length takes no place, whatever else lies in its range.
     size = F.lit(1) if length is None else F.coalesce(length, F.lit(0))
     sized = df.withColumn("_len", size.cast("bigint"))
     keys = sized.select(*order, "_len")
-    keys = keys if staged else cut_lineage(keys, "keys")
-    bounds = _bounds(keys, order, ranges)
-    n_ranges = len(bounds) + 1
-
-    rows, sums = [0] * n_ranges, [0] * n_ranges
-    per_range = _with_range(keys, order, bounds).groupBy("_range")
-    for r in per_range.agg(F.count(F.lit(1)).alias("n"), F.sum("_len").alias("s")).collect():
-        rows[r["_range"]], sums[r["_range"]] = r["n"], r["s"]
-    firsts = list(accumulate(rows, initial=0))
-    begins = list(accumulate(sums, initial=0))
+    seen = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("_len"), F.lit(0)).alias("sum")]
+    seen.append(F.coalesce(F.max(F.length(F.to_json(F.struct(*order)))), F.lit(0)).alias("key_bytes"))
+    if staged:
+        seen = keys.agg(*seen).first()
+    else:
+        counted = Observation()
+        keys, seen = cut_lineage(keys.observe(counted, *seen), "keys"), counted.get
+    found = _ranges(keys, seen, order, ranges, ties)
 
     inside = Window.partitionBy("_range").orderBy(*order)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
 
     def place(source: DataFrame) -> DataFrame:
         return (
-            _with_range(source, order, bounds)
+            _with_range(source, order, found)
             .withColumn("ord", F.row_number().over(inside) - 1)
             .withColumn("start", F.sum("_len").over(running) - F.col("_len"))
-            .withColumn("ord", _constants(firsts) + F.col("ord"))
-            .withColumn("_lo", _constants(begins))
-            .withColumn("_hi", _constants(begins[1:]))
+            .withColumn("ord", found.of_row("first") + F.col("ord"))
+            .withColumn("_lo", found.of_row("lo"))
+            .withColumn("_hi", found.of_row("hi"))
             .withColumn("start", F.col("_lo") + F.col("start"))
         )
 
@@ -176,8 +188,8 @@ def with_offsets(
         )
         .collect()
     )
-    # A group may go on from the range before: give its first run its true base.
-    heads, before = [0] * n_ranges, None
+    # A group may go on from the range before: give the first run of each range its true base.
+    heads, before = [0] * found.n, None
     for e in sorted(edges, key=lambda e: e["_range"]):
         head, tail = e["head"], e["tail"]
         goes_on = before is not None and before[0] == head["key"]
@@ -185,7 +197,7 @@ def with_offsets(
         one_run = tail["_run"]["ord"] == head["_run"]["ord"]
         before = (tail["key"], heads[e["_range"]] if one_run else tail["_run"]["start"])
 
-    in_head = F.col("_run.ord") == _constants(firsts)
+    in_head = F.col("_run.ord") == found.of_row("first")
     return (
         runs(sized)
         .withColumn("_base", F.when(in_head, _constants(heads)).otherwise(F.col("_run.start")))
@@ -200,7 +212,8 @@ def with_ordinal(
     name: str = "ord",
     ranges: int | None = None,
     staged: bool = False,
+    ties: bool = False,
 ) -> DataFrame:
     """Add a dense ordinal from 0 in the given order."""
-    out = with_offsets(df, order, ranges=ranges, staged=staged).drop("start", *HIDDEN)
+    out = with_offsets(df, order, ranges=ranges, staged=staged, ties=ties).drop("start", *HIDDEN)
     return out if name == "ord" else out.withColumnRenamed("ord", name)
