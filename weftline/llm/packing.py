@@ -193,7 +193,7 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     columns = found.columns
     hidden = {c: f"_{i}_piece" for i, c in enumerate(columns)}  # the ordinal brings columns of its own
     order = [hidden[c] for c in ("length", *(c for c in columns if c not in ("length", "ids")))]
-    ranked = with_ordinal(found.withColumnsRenamed(hidden), order, name="_ord", staged=True)
+    ranked = with_ordinal(found.withColumnsRenamed(hidden), order, name="_ord", staged=True, ties=True)
     ranked = ranked.withColumnsRenamed({v: k for k, v in hidden.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
