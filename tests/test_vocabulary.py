@@ -50,6 +50,21 @@ def test_lookup_keeps_every_row(spark, head_rows):
     assert got == collections.Counter((k, values.get(k)) for (k,) in rows)
 
 
+def test_a_hot_key_of_any_length_is_broadcast(spark, monkeypatch):
+    hot = "x" * 3000
+    table = spark.createDataFrame([(hot, 900, [1]), ("b", 5, [2]), ("c", 4, list(range(500)))], "key string, w int, v array<int>")
+    rows = spark.createDataFrame([(hot,)] * 900 + [("b",), ("c",), ("none",), (None,)], "key string")
+    for size in (1, 2):
+        got = lookup.lookup(rows, table, "key", "w", size).groupBy("key", "v").count().collect()
+        assert {(r["key"], r["v"] and len(r["v"])): r["count"] for r in got} == {
+            (hot, 1): 900, ("b", 1): 1, ("c", 500): 1, ("none", None): 1, (None, None): 1
+        }
+        assert [r["w"] for r in lookup.head_of(table, "key", "w", size).orderBy("w").collect()][-1] == 900
+    # Values beyond the bytes of the head stay behind.
+    monkeypatch.setattr(lookup, "HEAD_BYTES", 200)
+    assert sorted(r["w"] for r in lookup.head_of(table, "key", "w").collect()) == [5, 900]
+
+
 def test_embeddings_broadcast_and_salted_agree(spark, monkeypatch):
     table = spark.createDataFrame([(i, [float(i), -float(i)]) for i in range(5)], "token_id int, vec array<float>")
     ids = spark.createDataFrame([(p, i) for p, i in enumerate([1, 2, 2, 2, 4, 9])], "pos int, id int")
