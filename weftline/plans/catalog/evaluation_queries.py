@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ...functions import ids as I
 from ...operators import quality, run_metrics, text_metrics
@@ -136,6 +136,31 @@ def rouge_l(spark, sf_dir):
     return scores.withColumns({c: F.round(c, 6) for c in ("recall", "precision", "f1")})
 
 
+# A row of the table of lengths per word of the hypothesis; the prefix maximum carries a length along the row.
+@query(
+    "rouge_l_turns",
+    f"""WITH RECURSIVE p AS (SELECT * FROM (SELECT conv_id * 1000 + turn AS id, {sql_words("text")} AS h,
+        lead({sql_words("text")}) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r IS NOT NULL),
+      t AS (SELECT id, 0 AS i, list_transform(range(len(r) + 1), lambda j: 0::BIGINT) AS l FROM p UNION ALL
+        SELECT id, i + 1, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM (
+          SELECT t.id, i, list_transform(range(1, len(r) + 2),
+            lambda k: greatest(l[k], CASE WHEN k > 1 AND r[k - 1] = h[i + 1] THEN l[k - 1] + 1 ELSE 0 END)) AS c
+          FROM t JOIN p ON p.id = t.id AND i < len(h))),
+      s AS (SELECT id, l[-1] AS lcs, CASE WHEN len(r) > 0 THEN l[-1] / len(r)::DOUBLE ELSE 0 END AS recall,
+        CASE WHEN len(h) > 0 THEN l[-1] / len(h)::DOUBLE ELSE 0 END AS precision FROM p JOIN t USING (id) WHERE i = len(h))
+    SELECT id, lcs, round(recall, 6) AS recall, round(precision, 6) AS precision,
+      round(CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END, 6) AS f1 FROM s""",
+)
+def rouge_l_turns(spark, sf_dir):
+    """Every turn against the one that follows it."""
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("hyp"), following.alias("ref")
+    )
+    scores = text_metrics.rouge_l(turns.where(F.col("ref").isNotNull()))
+    return scores.withColumns({c: F.round(c, 6) for c in ("recall", "precision", "f1")})
+
+
 @query(
     "weighted_f1",
     """WITH p AS (SELECT quality AS t, (n_chars > 200)::INT AS p FROM labels JOIN documents USING (doc_id)),
@@ -239,6 +264,44 @@ def attention_cost(spark, sf_dir):
     return out.select("layout", "n_sequences", "n_ids", F.round(F.col("flops") / 1e9, 3).alias("gflops"))
 
 
+@query(
+    "attention_rate",
+    """WITH r AS (SELECT source, octet_length(encode(text)) + 1 AS n, value AS seconds FROM documents JOIN events ON event_id = doc_id)
+    SELECT source, count(*) AS n_runs, count(*) FILTER (seconds > 0) AS n_timed,
+      round(max(CASE WHEN seconds > 0 THEN 4.0::DOUBLE * n * n * 1024 / seconds / 1e12 END), 6) AS best_tflops,
+      round(avg(CASE WHEN seconds > 0 THEN 4.0::DOUBLE * n * n * 1024 / seconds / 1e12 END), 6) AS mean_tflops
+    FROM r GROUP BY source""",
+)
+def attention_rate(spark, sf_dir):
+    """Documents as timed sequences: the event of the same number gives the seconds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", byte_length().alias("n"))
+    times = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("value").alias("seconds"))
+    rate = run_metrics.attention_tflops(F.col("n"), F.col("seconds"))
+    return docs.join(times, "doc_id").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_runs"),
+        F.count(F.when(F.col("seconds") > 0, 1)).alias("n_timed"),
+        F.round(F.max(rate), 6).alias("best_tflops"),
+        F.round(F.avg(rate), 6).alias("mean_tflops"),
+    )
+
+
+@query(
+    "zero_in_zero_out",
+    """SELECT vec_id, label FROM embeddings
+    WHERE (vec_id % 5 = 0 OR list_max(list_transform(embedding, lambda x: abs(x))) = 0)
+      AND vec_id % 10 <> 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0""",
+)
+def zero_in_zero_out(spark, sf_dir):
+    """A step that is given zeros for every fifth vector and gives zeros for every tenth."""
+    zeros = F.transform("embedding", lambda x: F.lit(0.0).cast("float"))
+
+    def blank(every):
+        return F.when(F.col("vec_id") % every == 0, zeros).otherwise(F.col("embedding"))
+
+    steps = table(spark, sf_dir, "embeddings").select("vec_id", "label", blank(5).alias("given"), blank(10).alias("result"))
+    return quality.zero_in_zero_out(steps, "given", "result").select("vec_id", "label")
+
+
 @query(
     "vector_health",
     """SELECT label, count(*) AS n, 0::BIGINT AS n_null, 0::BIGINT AS n_nan, 0::BIGINT AS n_inf,
