@@ -8,6 +8,7 @@ from ...functions import ids as I
 from ...operators import loader, packing
 from ...operators.ordering import with_ordinal
 from ...session import scratch_path
+from ...sources.manifest import read_table, union_tables, write_table
 from ..corpus import byte_length, corpus_blocks, corpus_to_ranks
 from .registry import query, sql_bytes, sql_digest, table
 
@@ -201,6 +202,53 @@ def rank_shards(spark, sf_dir):
     )
 
 
+@query(
+    "rank_resume",
+    f"""WITH {_DOC_BATCHES} SELECT (batch_id % 4)::INT AS rank, batch_id // 4 AS local_step, count(*) AS n_rows,
+      sum(n_chars)::BIGINT AS n_chars FROM b WHERE batch_id // 4 >= 9 GROUP BY ALL""",
+)
+def rank_resume(spark, sf_dir):
+    """Ranks written with a manifest; after nine steps, only files with later steps are opened."""
+    df = loader.with_batch(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), ["doc_id"], 7)
+    path = scratch_path(spark, "ranks")
+    write_table(loader.shard_batches(df, 4), path, "local_step", keys_per_file=16, by=["rank"])
+    return (
+        read_table(spark, path, first=9)
+        .groupBy("rank", "local_step")
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").alias("n_chars"))
+    )
+
+
+@query(
+    "tokenized_shards",
+    f"""WITH d AS (SELECT lang, list_append({sql_bytes("text")}, 2) AS ids, doc_id FROM documents),
+      t AS (SELECT lang, unnest(ids) AS id, doc_id, generate_subscripts(ids, 1) AS k FROM d),
+      p AS (SELECT lang, id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id, k) - 1) // {BLOCK} AS block_no FROM t),
+      b AS (SELECT lang, block_no, count(*) AS n, sum(id) AS ids FROM p GROUP BY ALL)
+    SELECT lang, count(*) AS n_blocks, sum(n)::BIGINT AS n_ids, sum(ids)::BIGINT AS sum_ids FROM b WHERE n = {BLOCK} GROUP BY lang""",
+)
+def tokenized_shards(spark, sf_dir):
+    """Blocks of each language, in one table for those before ``es`` and one for the rest; checked and united."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    build = {"_chars": I.byte_chars(F.coalesce("text", F.lit("")))}
+    early = F.coalesce(F.col("lang") < "es", F.lit(False))
+    paths = []
+    for some in (docs.where(early), docs.where(~early)):
+        blocks = packing.pack_by_key(some, ["lang"], ["_chars"], BLOCK, ["doc_id"], byte_length(), build, chars=True)
+        blocks = blocks.select("lang", "block_no", I.ids_of_chars("_chars").alias("input_ids"))
+        paths.append(scratch_path(spark, "blocks"))
+        write_table(blocks.where(F.size("input_ids") == BLOCK), paths[-1], "block_no", keys_per_file=4096)
+    return (
+        union_tables(spark, paths, verify=True)
+        .groupBy("lang")
+        .agg(
+            F.count(F.lit(1)).alias("n_blocks"),
+            F.sum(F.size("input_ids")).alias("n_ids"),
+            F.sum(F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("sum_ids"),
+        )
+    )
+
+
 @query(
     "rank_shards_even",
     f"""WITH {_DOC_BATCHES}, n AS (SELECT max(batch_id) + 1 AS n FROM b),
