@@ -130,5 +130,5 @@ def test_both_branches_read_one_shuffle(spark, batch_rows):
     blocks = corpus_blocks(df, 64, batch_rows)
     blocks.collect()
     plan = blocks._jdf.queryExecution().executedPlan().toString()
-    final = plan[: plan.find("== Initial Plan")]
-    assert final.count("ReusedExchange") == 1
+    # The plans of subqueries stand in between; no initial plan reuses an exchange.
+    assert plan.count("ReusedExchange") == 1
