@@ -46,5 +46,5 @@ def test_entry_lists_all(spark):
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
     assert {"pipeline", *queries.QUERIES} <= names and set(SQL) <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert "weftline.llm" in sys.modules
