@@ -50,6 +50,10 @@ _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
+#: Text worked on at once; its arrays take about sixty times as much.
+BATCH_BYTES = 2 << 20
+
+
 @dataclass(frozen=True)
 class Rules:
     """Parameters. ``min_chars`` and ``min_words`` guard short texts, whose histograms say little."""
@@ -179,7 +183,7 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> list[dict]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH_BYTES):
                 texts = Texts(part.column("text"), lower=True)
                 codes = part.column("lang").dictionary_encode()
                 lang = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -262,7 +266,7 @@ def quality(docs: DataFrame, rules: Rules = Rules(), langs: list[dict] | None =
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH_BYTES):
                 lang = part.column("lang") if "lang" in part.schema.names else None
                 yield pa.record_batch({"doc_id": part.column("doc_id"), **judged(part.column("text"), shared.value, rules, lang)})
 
@@ -278,7 +282,7 @@ def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH_BYTES):
                 yield part.filter(pa.array(judged(part.column(text), shared.value, rules, part.column(lang))["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
