@@ -38,9 +38,11 @@ from .words import slices
 
 CAPACITY = 4096
 END = 1
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 WORD = re.compile(" ?[a-z]+")
 WORDS = 5000
+#: Parts of texts whose ids a worker keeps, about 50 MB: workers also serve the stages before.
+CACHE = 150_000
 
 
 @cache
@@ -75,7 +77,7 @@ def _parts(model: str) -> PartCache:
         out.update((part, e.tobytes()) for part, e in zip(rest, encode(rest)))
         return out
 
-    return PartCache(make, lower=True)
+    return PartCache(make, lower=True, size=CACHE)
 
 
 def tokenized(column: pa.Array, model: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:

@@ -2,8 +2,8 @@
 
 Tokenizers that split a text into words before anything else give a text the ids of its
 parts, one after the other, if no word runs across the end of a part. Distinct parts are
-encoded once per Python worker, as far as the cache goes: at most ``CACHE`` parts of at
-most ``CACHE_CHARS`` characters. All others are simply encoded again.
+encoded once per Python worker, as far as the cache goes: at most ``CACHE`` parts (or as
+many as the caller says) of at most ``CACHE_CHARS`` characters. All others are simply encoded again.
 """
 
 from __future__ import annotations
@@ -61,9 +61,10 @@ class PartCache:
     ``lower`` is for tokenizers that fold A-Z anyway: it makes the parts fewer.
     """
 
-    def __init__(self, make: Callable[[list[str]], dict[str, bytes]], lower: bool = False):
+    def __init__(self, make: Callable[[list[str]], dict[str, bytes]], lower: bool = False, size: int = CACHE):
         self.make = make
         self.lower = lower
+        self.size = size
         self.known: dict[str, bytes] = {}
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +84,9 @@ class PartCache:
         distinct = codes.dictionary.to_pylist()
         made = self.make([part for part in distinct if part not in self.known])
         coded = [made[part] if part in made else self.known[part] for part in distinct]
-        if len(self.known) + len(made) > CACHE:
+        if len(self.known) + len(made) > self.size:
             self.known.clear()
-        self.known.update(islice(((m, v) for m, v in made.items() if len(m) <= CACHE_CHARS), CACHE))
+        self.known.update(islice(((m, v) for m, v in made.items() if len(m) <= CACHE_CHARS), self.size))
         start = np.cumsum([0, *map(len, coded)]) // 4
         ids, totals = gather(np.frombuffer(b"".join(coded), "<u4"), start, codes.indices.to_numpy())
         return ids, totals[np.searchsorted(cuts, border)]

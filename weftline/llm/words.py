@@ -27,16 +27,28 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that begin a code point.
 LEAD = (np.arange(256) & 0xC0) != 0x80
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers of the base and of its inverse in steps of one and of ``_STEP``: any power is a product of two of them.
+_STEP = 4096
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) <= n:
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(n + n // 4 + 1, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+def _progression(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_FINE, _FINE_INVERSE = (_progression(base, _STEP) for base in (_BASE, _BASE_INVERSE))
+_COARSE_BASE, _COARSE_INVERSE_BASE = (np.uint64(pow(int(base), _STEP, 1 << 64)) for base in (_BASE, _BASE_INVERSE))
+
+
+def _powers(n: int) -> np.ndarray:
+    """The powers of the base from 0 to ``n - 1``; made anew each time, so that no worker keeps them."""
+    return np.multiply.outer(_progression(_COARSE_BASE, n // _STEP + 1), _FINE).ravel()[:n]
+
+
+def _inverses(at: np.ndarray, n: int) -> np.ndarray:
+    """The powers ``at`` (below ``n``) of the inverse of the base."""
+    return _progression(_COARSE_INVERSE_BASE, n // _STEP + 1)[at // _STEP] * _FINE_INVERSE[at % _STEP]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,12 +94,13 @@ class Texts:
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A 64-bit hash of the bytes of each span."""
-        power, inverse = _power_tables(len(self.bytes))
+        n = len(self.bytes)
         if not hasattr(self, "_sums"):
-            table = _BYTE[_LOWER] if self.lower else _BYTE
-            self._sums = np.zeros(len(self.bytes) + 1, np.uint64)
-            np.cumsum(table[self.bytes] * power[: len(self.bytes)], out=self._sums[1:])
-        return mix((self._sums[end] - self._sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+            terms = _powers(n)
+            terms *= (_BYTE[_LOWER] if self.lower else _BYTE)[self.bytes]
+            self._sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(terms, out=self._sums[1:])
+        return mix((self._sums[end] - self._sums[start]) * _inverses(start, n + 1) + (end - start).astype(np.uint64))
 
     def word_hash(self) -> np.ndarray:
         return self.span_hash(self.start, self.end)
