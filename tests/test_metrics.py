@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,37 @@ def test_bleu(spark, pairs):
     assert text_metrics.corpus_bleu(df).first()["bleu"] == pytest.approx(bleu(pairs))
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_overlaps_count_every_pair_by_itself(seed):
+    rng = random.Random(seed)
+    text = lambda: " ".join(rng.choice("abcé") for _ in range(rng.choice([0, 1, 2, 3, 30, 300])))
+    pairs = [(text(), [text() for _ in range(rng.randint(1, 4))]) for _ in range(rng.choice([0, 1, 25]))]
+    ns = [[1, 2, 3, 4], [2], [1, 3]][seed % 3]
+    hyps, refs = (pa.array(c, pa.string()) for c in ([h for h, _ in pairs], ["\n".join(r) for _, r in pairs]))
+    got = text_metrics.overlaps(hyps, refs, ns)
+    assert got.shape == (len(pairs), len(ns) + 1, 4)
+    for (hyp, rs), rows in zip(pairs, got.tolist()):
+        h, rs = hyp.split(), [r.split() for r in rs]
+        nearest = min((abs(len(r) - len(h)), len(r)) for r in rs)[1]
+        assert rows[0] == [0, len(h), nearest, 0]
+        for n, row in zip(ns, rows[1:]):
+            most = collections.Counter()
+            for r in rs:
+                most |= grams(r, n)
+            mine = grams(h, n)
+            assert row == [n, (mine & most).total(), mine.total(), sum(grams(r, n).total() for r in rs)]
+
+
+def test_overlap_of_nulls_and_small_slices(spark, monkeypatch):
+    monkeypatch.setattr(text_metrics, "SLICE_BYTES", 8)
+    rows = [(1, "a b c", ["a b", None]), (1, None, ["a"]), (2, "a b", None), (3, "", []), (3, "a a b", ["a b", "a a"]), (None, "a b c d", ["a b c d"])]
+    df = spark.createDataFrame(rows, "id int, hyp string, refs array<string>").coalesce(1)
+    row = text_metrics.corpus_bleu(df, max_n=2).first()
+    assert (row.matched_1, row.total_1, row.matched_2, row.total_2) == (9, 12, 6, 8)
+    assert (row.hyp_len, row.ref_len, row.n_pairs) == (12, 9, 6)
+    assert text_metrics.corpus_bleu(df.limit(0)).first()["n_pairs"] == 0
+
+
 def lcs(a, b):
     best = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
     for i, x in enumerate(a):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import words
@@ -42,41 +44,106 @@ def unigram_perplexity(df: DataFrame, key: str = "doc_id", text: str = "text") -
     )
 
 
+#: Text counted at once, at least one pair; the arrays of a pass take about thirty times as much.
+SLICE_BYTES = 4 << 20
+
+
 def _joined(tokens: Column) -> Column:
     """Words as one string: a word holds neither a space nor a line end."""
     return F.array_join(tokens, " ")
 
 
+def _segments(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of ``texts`` in a row, and the number of the text each one is in."""
+    lists = pc.split_pattern(texts, " ")
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    flat = lists.flatten()
+    # An empty text is split into one empty word.
+    some = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(some), owner[some.to_numpy(zero_copy_only=False)]
+
+
+def _row_sums(rows: np.ndarray, values: np.ndarray, n_rows: int) -> np.ndarray:
+    return np.bincount(rows, values, n_rows).astype(np.int64)
+
+
+def overlaps(hyps: pa.Array, refs: pa.Array, ns: Sequence[int]) -> np.ndarray:
+    """``[n, both, h, r]`` for each n of each pair, behind ``[0, words of hyp, words of the nearest ref, 0]``.
+
+    ``hyps`` has words joined by a space, ``refs`` such texts joined by a line end. Words and
+    n-grams of the whole batch are numbered, not hashed: an n-gram is the pair of the
+    (n-1)-gram at its start and its last word. Counts are sorted runs of (text, n-gram).
+    """
+    n_rows, ns = len(hyps), list(ns)
+    out = np.zeros((n_rows, len(ns) + 1, 4), np.int64)
+    if not n_rows:
+        return out
+    hyps, refs = (pc.fill_null(c.cast(pa.large_string()), "") for c in (hyps, refs))
+    lines = pc.split_pattern(refs, "\n")
+    own, own_text = _segments(hyps)
+    theirs, their_text = _segments(lines.flatten())
+    # Texts 0 to n_rows - 1 are the hypotheses, all others references.
+    row = np.concatenate([np.arange(n_rows), np.repeat(np.arange(n_rows), pc.list_value_length(lines).to_numpy())])
+    text = np.concatenate([own_text, their_text + n_rows])
+    coded = pa.concat_arrays([own, theirs]).dictionary_encode()
+    codes, n_words = coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+
+    length = np.bincount(text, minlength=len(row))
+    out[:, 0, 1] = length[:n_rows]
+    order = np.lexsort((length[n_rows:], np.abs(length[n_rows:] - length[row[n_rows:]]), row[n_rows:]))
+    nearest = order[np.searchsorted(row[n_rows:], np.arange(n_rows))]
+    out[:, 0, 2] = length[n_rows:][nearest]
+
+    at, grams = np.arange(len(text)), codes
+    for n in range(1, max(ns) + 1):
+        if n > 1:
+            inside = at + n - 1 < len(text)
+            inside[inside] = text[at[inside] + n - 1] == text[at[inside]]
+            at = at[inside]
+            grams = np.unique(grams[inside] * n_words + codes[at + n - 1], return_inverse=True)[1]
+        if n not in ns:
+            continue
+        i = ns.index(n) + 1
+        out[:, i, 0] = n
+        if not len(at):
+            continue
+        width = int(grams.max()) + 1
+        keys, counts = np.unique(text[at] * width + grams, return_counts=True)
+        of = keys // width
+        pair = row[of] * width + keys % width
+        mine = of < n_rows
+        out[:, i, 2] = _row_sums(row[of[mine]], counts[mine], n_rows)
+        out[:, i, 3] = _row_sums(row[of[~mine]], counts[~mine], n_rows)
+        if mine.all() or not mine.any():
+            continue
+        most, inverse = np.unique(pair[~mine], return_inverse=True)
+        best = np.zeros(len(most), np.int64)
+        np.maximum.at(best, inverse, counts[~mine])
+        spot = np.minimum(np.searchsorted(most, pair[mine]), len(most) - 1)
+        clipped = np.where(most[spot] == pair[mine], np.minimum(best[spot], counts[mine]), 0)
+        out[:, i, 1] = _row_sums(row[of[mine]], clipped, n_rows)
+    return out
+
+
 def _overlap(hyp: Column, refs: Column, ns: Sequence[int]) -> Column:
-    """``[n, both, h, r]`` for each n of one pair of a text and its references.
+    """What ``overlaps`` gives for one pair of a text and its references.
 
     ``both`` counts the n-grams of the hypothesis, each at most as often as it occurs
     in one reference; ``h`` and ``r`` are the n-grams of the hypothesis and of all
     references. A pair is one row, so it is counted where it is: n-grams as rows
-    would move several times the text and, measured, take four times as long.
+    would move several times the text. NULL counts as an empty text.
     """
     ns = list(ns)
 
-    @F.pandas_udf("array<array<bigint>>")
-    def count(hyps: pd.Series, references: pd.Series) -> pd.Series:
-        def grams(tokens, n):
-            return Counter(zip(*[tokens[i:] for i in range(n)]))
-
-        def one(h, refs):
-            h, refs = h.split(), [r.split() for r in refs.split("\n")]
-            found = []
-            for n in ns:
-                mine, most, n_ref = grams(h, n), {}, 0
-                for r in refs:
-                    theirs = grams(r, n)
-                    n_ref += sum(theirs.values())
-                    for g in mine.keys() & theirs.keys():
-                        most[g] = max(theirs[g], most.get(g, 0))
-                both = sum(min(mine[g], k) for g, k in most.items())
-                found.append([n, both, sum(mine.values()), n_ref])
-            return found
-
-        return pd.Series([one(h, r) for h, r in zip(hyps, references)])
+    @F.arrow_udf("array<array<bigint>>")
+    def count(hyps: pa.Array, references: pa.Array) -> pa.Array:
+        sizes = [pc.fill_null(pc.binary_length(c), 0).to_numpy().astype(np.int64) for c in (hyps, references)]
+        part = np.cumsum(sizes[0] + sizes[1]) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(hyps)]
+        found = [overlaps(hyps.slice(a, b - a), references.slice(a, b - a), ns) for a, b in zip(cuts, cuts[1:])]
+        values = np.concatenate(found)
+        inner = pa.ListArray.from_arrays(np.arange(0, values.size + 1, 4, dtype=np.int32), pa.array(values.ravel()))
+        return pa.ListArray.from_arrays(np.arange(0, len(inner) + 1, len(ns) + 1, dtype=np.int32), inner)
 
     lines = F.array_join(F.transform(refs, lambda t: _joined(words(t))), "\n")
     return count(_joined(words(hyp)), lines)
@@ -87,6 +154,7 @@ def _row(n: Column, both: Column, h: Column, r: Column) -> Column:
 
 
 def _overlap_rows(pairs: DataFrame, key: str, hyp: Column, refs: Column, ns: Sequence[int]) -> DataFrame:
+    """The rows of ``overlaps``; the one of n = 0 has the lengths."""
     counted = pairs.select(key, _overlap(hyp, refs, ns).alias("_c"))
     return counted.select(
         key, F.inline(F.transform("_c", lambda c: _row(c[0].cast("int"), c[1], c[2], c[3])))
@@ -102,23 +170,18 @@ def corpus_bleu(
     of two equally close ones. BLEU is 0 when a precision is 0.
     """
     ns = range(1, max_n + 1)
-    pooled = _overlap_rows(pairs, key, F.col(hyp), F.col(refs), ns).agg(
-        *[F.sum(F.when(F.col("n") == n, F.col("both")).otherwise(0)).alias(f"matched_{n}") for n in ns],
-        *[F.sum(F.when(F.col("n") == n, F.col("h")).otherwise(0)).alias(f"total_{n}") for n in ns],
-    )
-    length = F.size(words(hyp))
-    nearest = F.array_min(
-        F.transform(
-            F.col(refs),
-            lambda t: F.struct(F.abs(F.size(words(t)) - length).alias("gap"), F.size(words(t)).alias("len")),
-        )
-    )["len"]
-    lengths = pairs.agg(
-        F.sum(length).alias("hyp_len"), F.sum(nearest).alias("ref_len"), F.count(F.lit(1)).alias("n_pairs")
+    n = F.col("n")
+
+    def total(column: str, of: int) -> Column:
+        return F.coalesce(F.sum(F.when(n == of, F.col(column)).otherwise(0)), F.lit(0))
+
+    both = _overlap_rows(pairs, key, F.col(hyp), F.col(refs), ns).agg(
+        *[total("both", i).alias(f"matched_{i}") for i in ns],
+        *[total("h", i).alias(f"total_{i}") for i in ns],
+        total("both", 0).alias("hyp_len"),
+        total("h", 0).alias("ref_len"),
+        F.count_if(n == 0).alias("n_pairs"),
     )
-    # One row each; a sum over both puts them side by side.
-    both = pooled.unionByName(lengths, allowMissingColumns=True)
-    both = both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in both.columns])
     logs = None
     nonzero = F.lit(True)
     for n in ns:
@@ -142,7 +205,7 @@ def rouge_n(
     pairs: DataFrame, key: str = "id", hyp: str = "hyp", ref: str = "ref", ns: Sequence[int] = (1, 2)
 ) -> DataFrame:
     """``key, n, recall, precision, f1`` by counted n-gram overlap."""
-    counts = _overlap_rows(pairs, key, F.col(hyp), F.array(ref), ns)
+    counts = _overlap_rows(pairs, key, F.col(hyp), F.array(ref), ns).where("n > 0")
     recall = F.when(F.col("r") > 0, F.col("both") / F.col("r")).otherwise(0.0)
     precision = F.when(F.col("h") > 0, F.col("both") / F.col("h")).otherwise(0.0)
     scores = counts.select(key, "n", recall.alias("recall"), precision.alias("precision"))
