@@ -152,6 +152,47 @@ def test_grouped_merges_are_those_of_single_rounds(seed):
     assert got == want
 
 
+def rescanned(word, rank):
+    parts = list(word)
+    while True:
+        found = [p for p in zip(parts, parts[1:]) if p in rank]
+        if not found:
+            return parts
+        best, out = min(found, key=rank.get), []
+        for part in parts:
+            # A symbol just made is longer than the right side, so it is never taken for the left one.
+            if out and (out[-1], part) == best:
+                out[-1] += part
+            else:
+                out.append(part)
+        parts = out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_any_merge_list_gives_the_symbols_of_a_rescan(seed):
+    """Lists no training would give too: products of several merges, later ones ranked lower."""
+    rng = random.Random(seed)
+    symbols, pairs = list("abc"), {}
+    while len(pairs) < rng.choice([3, 12, 40]):
+        pair = rng.choice(symbols), rng.choice(symbols)
+        if pair not in pairs:
+            pairs[pair] = None
+            symbols.append("".join(pair))
+    order = list(pairs) if seed % 2 else rng.sample(list(pairs), len(pairs))
+    rank = {p: i for i, p in enumerate(order)}
+    for _ in range(300):
+        word = "".join(rng.choice("aabc") for _ in range(rng.choice([0, 1, 2, 3, 8, 40])))
+        assert bpe._split(word, rank) == rescanned(word, rank)
+
+
+def test_a_text_of_one_word_takes_little_more_than_linear_time():
+    rank = {("a" * 2**i, "a" * 2**i): i for i in range(5)} | {("a" * 32, "b"): 5}
+    rank |= {(chr(200 + i), chr(201 + i)): 6 + i for i in range(0, 4000, 2)}
+    tail = [chr(200 + i) for i in range(4000)]
+    word = "a" * 320_000 + "b" + "".join(tail)
+    assert bpe._split(word, rank) == ["a" * 32] * 9_999 + ["a" * 32 + "b"] + [a + b for a, b in zip(tail[::2], tail[1::2])]
+
+
 def test_words_and_positions(corpus):
     rows = vocabulary.tokenize_words(corpus).orderBy("doc_id", "pos").collect()
     assert [(r[0], r[1], r[2]) for r in rows] == [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -117,22 +118,38 @@ def train_bpe(counts: DataFrame, n_merges: int) -> DataFrame:
 
 
 def _split(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
-    """The symbols of one word after all merges, lowest rank first."""
-    parts = list(word)
-    while len(parts) > 1:
-        best = min(zip(parts, parts[1:]), key=lambda p: rank.get(p, len(rank)))
-        if best not in rank:
-            break
-        joined, i = [], 0
-        while i < len(parts):
-            if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                joined.append(parts[i] + parts[i + 1])
-                i += 2
-            else:
-                joined.append(parts[i])
-                i += 1
-        parts = joined
-    return parts
+    """The symbols of one word after all merges, lowest rank first.
+
+    A round merges every pair of the lowest rank from left to right. A text without spaces
+    is one word: a heap of (rank, place) and links to both neighbours make its time follow
+    its length, times a logarithm, and not its length times its merges.
+    """
+    parts: list[str | None] = list(word)
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    heap = [(rank[pair], i) for i, pair in enumerate(zip(parts, parts[1:])) if pair in rank]
+    heapify(heap)
+    while heap:
+        lowest, touched = heap[0][0], []
+        while heap and heap[0][0] == lowest:
+            _, i = heappop(heap)
+            j = after[i]
+            # An entry is stale once either side has been merged.
+            if parts[i] is None or j == len(parts) or rank.get((parts[i], parts[j])) != lowest:
+                continue
+            parts[i] += parts[j]
+            parts[j] = None
+            after[i] = after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            touched.append(i)
+        # New pairs wait for the next round, even if their rank is lower.
+        places = {i for i in touched if parts[i] is not None}
+        places.update(before[i] for i in tuple(places) if before[i] >= 0)
+        for i in places:
+            found = rank.get((parts[i], parts[after[i]])) if after[i] < len(parts) else None
+            if found is not None:
+                heappush(heap, (found, i))
+    return [part for part in parts if part is not None]
 
 
 def split_words(counts: DataFrame, merges: DataFrame) -> DataFrame:
