@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions import ids as I
 from ...operators import loader, quality, sequences
 from ...session import scratch_path
-from ...sources import append_run_log, assemble, read_corpus, read_media, read_run_log
+from ...sources import append_run_log, assemble, read_corpus, read_media, read_media_parts, read_run_log
 from ...sources import split_slice, union_shards, write_shards
 from .registry import query, sql_bytes, table, utc
 
@@ -90,6 +90,11 @@ def union_of_shards(spark, sf_dir):
     SELECT lang, chunk, octet_length(encode(content))::BIGINT AS length, md5(content) AS digest FROM l""",
 )
 def media_scan(spark, sf_dir):
+    files = read_media(spark, _media_files(spark, sf_dir), pattern="*.txt")
+    return files.select(*_media_names(), "length", F.md5("content").alias("digest"))
+
+
+def _media_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.md5(F.encode("text", "UTF-8"))).alias("value")
     lines = docs.select("lang", F.expr("doc_id div 1000").alias("chunk"), "doc_id", line)
@@ -101,15 +106,32 @@ def media_scan(spark, sf_dir):
         .write.partitionBy("lang", "chunk")
         .text(path)
     )
-    files = read_media(spark, path, pattern="*.txt")
-    return files.select(
+    return path
+
+
+def _media_names():
+    return (
         F.regexp_extract("path", "/lang=([^/]+)/", 1).alias("lang"),
         F.regexp_extract("path", "/chunk=([0-9]+)/", 1).cast("bigint").alias("chunk"),
-        "length",
-        F.md5("content").alias("digest"),
     )
 
 
+# The same files in ranges of a kilobyte; all their characters are ASCII.
+@query(
+    "media_parts",
+    """WITH l AS (SELECT lang, doc_id // 1000 AS chunk,
+        string_agg(doc_id || ':' || md5(text) || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY ALL),
+      p AS (SELECT *, unnest(range(0, length(content), 1024)) AS start FROM l)
+    SELECT lang, chunk, length(content)::BIGINT AS length, start // 1024 AS part_no, start,
+      md5(content[start + 1:start + 1024]) AS digest FROM p""",
+)
+def media_parts(spark, sf_dir):
+    parts = read_media_parts(
+        spark, _media_files(spark, sf_dir), pattern="*.txt", part_bytes=1024, parts_per_task=1024
+    )
+    return parts.select(*_media_names(), "length", "part_no", "start", F.md5("content").alias("digest"))
+
+
 @query(
     "sample_assembly",
     """SELECT d.doc_id AS sample_id, d.n_chars, e.vec_id IS NOT NULL AS has_image, len(e.embedding) AS image_size,

@@ -1,6 +1,6 @@
 from .corpus import read_corpus, split_slice, union_shards, write_shards
 from .manifest import damaged_files, read_manifest, read_table, union_tables, write_table
-from .media import read_media
+from .media import read_media, read_media_parts
 from .run_log import append_run_log, read_run_log
 from .samples import assemble
 
@@ -11,6 +11,7 @@ __all__ = [
     "read_corpus",
     "read_manifest",
     "read_media",
+    "read_media_parts",
     "read_run_log",
     "read_table",
     "split_slice",
