@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ...functions import vectors as V
-from ...operators import features, vocabulary
+from ...operators import blocked, features, vocabulary
 from .registry import query, sql_words, table
 
 
@@ -160,6 +160,10 @@ def _projected(run):
 query("project_features", _PROJECTED)(_projected(features.project))
 # A matrix beyond the size check: a kilobyte per slice.
 query("project_features_join", _PROJECTED)(_projected(partial(features.project, slice_bytes=1024)))
+# A matrix that no executor should hold: blocks of 4 x 24, as for one of any size.
+query("project_features_blocked", _PROJECTED)(
+    _projected(partial(blocked.project_blocked, block_rows=4, block_cols=24))
+)
 
 
 @query(
