@@ -82,8 +82,35 @@ def test_words_in_names_of_sections():
     assert html.main_text(page) == wanted("First", 4)
 
 
+LONG = "A long paragraph, with much to say. " * 20
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        # No text of the content goes because it is short.
+        (f"<body><p>{LONG}</p><ul><li>Milk</li><li>Eggs</li></ul></body>", LONG + "Milk Eggs"),
+        (f"<body><div><p>{LONG}</p><table><tr><td>1</td><td>kg</td></tr></table></div></body>", LONG + "1 kg"),
+        (f"<body><div><p>{LONG}</p></div><ul><li><a href=a>Home</a></li><li><a href=b>More</a></li></ul></body>", LONG.strip()),
+        # The header of an article is its own, that of the page is not.
+        (f"<article><header><h1>The title</h1><p>By me</p><nav><h2>Menu</h2></nav></header><p>{LONG}</p></article>", "The title " + LONG.strip()),
+        (f"<header><h1>Site</h1></header><article><p>{LONG}</p></article>", LONG.strip()),
+        # An open select does not take the page.
+        (f"<article><p>Choose <select><option>a<option>b<p>{LONG}</p></article>", "Choose " + LONG.strip()),
+        ("<article><p>Choose <select><option>a</option></select> it, then.</p></article>", "Choose it, then."),
+        # Quotes that nothing closes.
+        (f"<article><p don't>one, two</p><p>{LONG}</p></article>", "one, two " + LONG.strip()),
+        ("<article>" + "<p don't>one, two</p>" * 101 + "</article>", " ".join(["one, two"] * 101)),
+        ("<p>text, and <!-- a > b", "text, and"),
+        ("<p>2 < 3, and <b", "2 < 3, and <b"),
+    ],
+)
+def test_whole_content(page, want):
+    assert html.main_text(page) == want
+
+
 def test_broken_markup_takes_linear_time():
-    for page in ("<a '" * 50_000, "<" * 200_000, "<p>" * 50_000, "<!--" * 50_000, "<script>" * 20_000, "x" * 1_000_000, "</div>" * 50_000):
+    for page in ("<a '" * 50_000, "<" * 200_000, "<p>" * 50_000, "<!--" * 50_000, "<script>" * 20_000, "x" * 1_000_000, "</div>" * 50_000, "<a '" * 50_000 + "</p>"):
         html.main_text(page)
 
 

@@ -4,9 +4,9 @@ A page is cut into blocks of text, each at the end of a path of tags from the ro
 path the length of the text, its punctuation and its links are summed over the page; a
 path's ratio is text and punctuation per block, less the share that is link text. The
 ratios in page order are smoothed over neighbouring blocks and fused with the path's own.
-Blocks far below the weight of a typical content block go. The content is what the others
-have in common: all that lies below the deepest element above them, and of the rest in it the
-headings. Where one article or main element holds most of the weight, such elements are
+Blocks far below the weight of a typical content block do not tell where it is. The content is what the others
+have in common: all that lies below the deepest element above them, whatever its length, but for
+paths that are mostly links. Where one article or main element holds most of the weight, such elements are
 the content whole and alone.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
@@ -16,6 +16,9 @@ only (``sidebar-left``, not ``has-sidebar`` or ``related-work``), never on artic
 if what it would hide is most of the page's text that is not in links. Words for reader comments
 are believed as long as a text is left beside them.
 
+A header inside an article keeps its headings alone. An open select ends at the next block.
+After 64 tags with quotes that nothing closes, a page's tags end at their first ``>``.
+
 Character references are decoded, white space in a block becomes one space, and blocks are
 joined by one space. NULL, empty and textless pages give an empty text. Pages are whole
 rows: repeated ones give repeated rows, an empty table an empty result.
@@ -24,6 +27,7 @@ rows: repeated ones give repeated rows, an empty table an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -33,14 +37,26 @@ from pyspark.sql import DataFrame
 
 from .words import slices
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|svg|math|title|xmp|noembed|noframes|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[a-z/!?][^>]*>",
-    re.S | re.I,
-)
+RAW = "script|style|noscript|template|iframe|textarea|svg|math|title|xmp|noembed|noframes"
+
+
+def _token(attributes: str) -> re.Pattern:
+    return re.compile(
+        r"<!--.*?(?:-->|\Z)"
+        r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+        rf"|<(?P<raw>{RAW})\b{attributes}>.*?(?:</(?P=raw)\s*>|\Z)"
+        rf"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attributes>{attributes})>"
+        r"|<[a-z/!?][^>]*>",
+        re.S | re.I,
+    )
+
+
+#: A quote hides the end of a tag only where it begins a value.
+QUOTED = _token(r"""(?:[^>=]++|=(?:\s*(?:"[^"]*"|'[^']*'))?)*+""")
+#: Quotes do not hide the end of a tag.
+PLAIN = _token("[^>]*+")
+#: After so many tags with a quote that nothing closes, the quotes of a page are not followed any more: each of them is looked for up to its end.
+BROKEN = 64
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PART = re.compile(r"[^a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、]")
@@ -53,7 +69,7 @@ INLINE = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are never main text.
-OUTSIDE = frozenset("head nav header footer aside form button fieldset dialog menu object canvas audio video".split())
+OUTSIDE = frozenset("head nav header footer aside form button fieldset dialog menu select object canvas audio video".split())
 #: Words in class, id or role of elements that are never main text.
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
@@ -84,6 +100,8 @@ ENDS = {
 #: Elements that an end tag or an implied end does not reach out of.
 WALLS = frozenset("ul ol dl table article section main body".split())
 MAIN = frozenset(["article", "main"])
+#: Block elements that do not end an open select.
+CHOICES = frozenset("option optgroup hr".split())
 
 SMOOTHING = np.array([0.25, 0.5, 1.0, 0.5, 0.25])
 SHARE = 0.05
@@ -130,14 +148,33 @@ def _believed(parts: list[tuple[str, bool, frozenset[str]]]) -> frozenset[str]:
     return frozenset()
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tags, comments and raw elements, in time that follows the length of the page."""
+    broken = 0
+    last = page.rfind(">")
+    at = page.find("<")
+    while at >= 0:
+        found = None
+        # Without an end, only what lasts to the end of the page can begin.
+        if at < last or page.startswith(("<!--", "<![CDATA["), at):
+            found = (QUOTED if broken < BROKEN else PLAIN).match(page, at)
+            broken += (found is None or not (found["tag"] or found["raw"])) and page[at + 1 : at + 2] not in ("!", "?", "<")
+        if found:
+            yield found
+        at = page.find("<", found.end() if found else at + 1)
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """Blocks in page order that may be content: path of elements, text, length of link text.
 
     An element is its tag and its number in the page, so that paths tell elements apart.
     """
     found: list[tuple[tuple[str, ...], list[tuple[str, bool, frozenset[str]]]]] = []
-    stack: list[tuple[str, bool, frozenset[str]]] = []
+    stack: list[tuple[str, int, frozenset[str]]] = []
+    opened: Counter[str] = Counter()
     hidden = links = 0
+    #: Open headers of an article; its title in there is its own.
+    titled = 0
     text: list[tuple[str, bool, frozenset[str]]] = []
     words: frozenset[str] = frozenset()
     serial = 0
@@ -148,12 +185,19 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             text.clear()
 
     def pop() -> None:
-        nonlocal hidden, links, words
+        nonlocal hidden, links, titled, words
         tag, out_of, words = stack.pop()
+        opened[tag.split("#")[0]] -= 1
         hidden -= out_of
         links -= tag.startswith("a#")
+        titled -= tag.startswith("header#") and in_main()
+
+    def in_main() -> bool:
+        return opened["article"] + opened["main"] > 0
 
     def close_until(names: frozenset[str]) -> None:
+        if not any(opened[name] for name in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
             name = stack[i][0].split("#")[0]
             if name in names:
@@ -168,7 +212,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             text.append((part, links > 0, words))
 
     at = 0
-    for token in TOKEN.finditer(page):
+    for token in _tokens(page):
         add(page[at : token.start()])
         at = token.end()
         tag = (token["tag"] or "").lower()
@@ -192,11 +236,17 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         if tag not in INLINE:
             close_until(frozenset(["p"]))
+            if tag not in CHOICES:
+                close_until(frozenset(["select"]))
             if tag in ENDS:
                 close_until(ENDS[tag])
         serial += 1
         out_of, new = _outside(tag, token["attributes"])
+        titled += tag == "header" and in_main()
+        if tag in HEADINGS and hidden and hidden == titled and not out_of:
+            out_of = -hidden
         stack.append((f"{tag}#{serial}", out_of, words))
+        opened[tag] += 1
         words = words | new if new else words
         hidden += out_of
         links += tag == "a"
@@ -252,7 +302,7 @@ def main_text(page: str | None) -> str:
         root = _above([path for (path, _, _), t in zip(found, typical | (marked & most)) if t])
         inside = np.array([path[: len(root)] == root for path, _, _ in found])
         heading = np.array([not HEADINGS.isdisjoint(p) for p in paths])
-        kept = inside & (typical | heading | (marked & most))
+        kept = inside & (typical | heading | (own[of] > 0.5) | (marked & most))
     return " ".join(text for (_, text, _), k in zip(found, kept) if k)
 
 
