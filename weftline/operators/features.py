@@ -176,3 +176,14 @@ def init_weights(
         zeros = F.array_repeat(F.lit(0.0), dim)
         values = F.when(F.col(row) == pad_row, zeros).otherwise(values)
     return rows.select(row, values.alias("w"))
+
+
+def weight_values(rows: DataFrame, row: str, dim: int, seed: int = 42, std: float | None = None) -> DataFrame:
+    """``<row>, dim, x``: the numbers of ``init_weights`` as rows, for work on single values.
+
+    Exploding the vectors instead would make all of them again for a filter on their size, which
+    Catalyst moves below a grouping of ``rows``: once for each row that goes into a group.
+    """
+    std = dim ** -0.5 if std is None else std
+    placed = rows.select(row, F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("dim"))
+    return placed.withColumn("x", normal_value(seed, F.col(row), F.col("dim")) * F.lit(std))

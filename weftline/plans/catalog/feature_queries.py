@@ -198,8 +198,7 @@ def _sql_uniform(part: int) -> str:
 def weight_moments(spark, sf_dir):
     counts = vocabulary.count_words(table(spark, sf_dir, "documents"))
     ids = counts.select(F.col("token").alias("row"))
-    weights = features.init_weights(ids, "row", 16)
-    values = weights.select(F.posexplode("w").alias("dim", "x"))
+    values = features.weight_values(ids, "row", 16)
     return values.groupBy("dim").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("x"), 6).alias("mean"),
