@@ -20,3 +20,13 @@ def test_weights_are_made_after_words_are_grouped(spark):
     # What stands below a line runs before it.
     before = plan[plan.index("Aggregate [token") :]
     assert "md5" in plan and "md5" not in before
+
+
+def test_aligned_mask_has_the_length_of_its_layout(spark, tmp_path):
+    rows = [(0, 0, "a" * 2031), (0, 1, "b")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    layout = QUERIES["slot_layout_image"](spark, str(tmp_path)).groupBy("sample_id").agg(F.max("last_pos").alias("last"))
+    want = {r.sample_id: r["last"] + 1 for r in layout.collect()}
+    got = {r.sample_id: r.n_mask for r in QUERIES["aligned_mask"](spark, str(tmp_path)).collect()}
+    assert got[0] == got[1] == 2033 + 2 + 64
+    assert got == want
