@@ -1,9 +1,11 @@
 """Work that must follow the size of the tables: what a step computes, moves or holds at once."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from weftline.operators import features
+from weftline.operators import bpe, features
 from weftline.plans.catalog import QUERIES
+from weftline.plans.corpus import coded_blocks, encoded_blocks
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -30,3 +32,38 @@ def test_aligned_mask_has_the_length_of_its_layout(spark, tmp_path):
     got = {r.sample_id: r.n_mask for r in QUERIES["aligned_mask"](spark, str(tmp_path)).collect()}
     assert got[0] == got[1] == 2033 + 2 + 64
     assert got == want
+
+
+def _model(spark):
+    counts = spark.createDataFrame([("abab", 5), ("ab", 4), ("cä", 3), ("c", 2)], "token string, count long")
+    return counts, bpe.train_bpe(counts, 3)
+
+
+def test_bpe_ids_shuffle_no_words(spark):
+    df = spark.createDataFrame([(1, "abab c, abab cä"), (2, None), (3, "")], "doc_id long, text string")
+    coded = bpe.encode_bpe_ids(df, *_model(spark))
+    assert "Exchange" not in coded._jdf.queryExecution().executedPlan().toString()
+    rows = {r.doc_id: r.input_ids for r in coded.collect()}
+    assert len(rows[1]) == 4 and rows[1][0] == rows[1][2] and rows[2] is None and rows[3] == []
+
+
+def test_blocks_of_coded_texts_move_no_mask(spark):
+    rows = [(i, None if i % 7 == 3 else "abab c ab cä " * (i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = _model(spark)
+    want = encoded_blocks(bpe.encode_bpe_ids(df, *model), 16, 10)
+    blocks = coded_blocks(df, *bpe.id_coder(*model), 16, 10)
+    shown = ("batch_id", "block_no", "input_ids", "attention_mask")
+    assert sorted(map(tuple, blocks.select(*shown).collect())) == sorted(map(tuple, want.select(*shown).collect()))
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    # The mask is made from finished blocks and not moved with them.
+    assert "attention_mask" not in plan[plan.index("collect_list") :]
+
+
+def test_words_are_coded_in_slices(monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 10)
+    lists = [["abc", "d"], None, [], ["x" * 50], ["e"] * 4, ["f"] * 8]
+    column = pa.array(lists, pa.list_(pa.string()))
+    parts = [part.to_pylist() for part in bpe._slices(column)]
+    assert [row for part in parts for row in part] == lists
+    assert all(len(part) == 1 or sum(len(w) for row in part for w in row or ()) <= 10 for part in parts)
