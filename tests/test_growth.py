@@ -1,9 +1,12 @@
 """Work that must follow the size of the tables: what a step computes, moves or holds at once."""
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from weftline.operators import bpe, features
+from weftline.operators import bpe, features, text_metrics, vocabulary
+from weftline.operators.vocabulary import word_slices
 from weftline.plans.catalog import QUERIES
 from weftline.plans.corpus import coded_blocks, encoded_blocks
 
@@ -57,13 +60,41 @@ def test_blocks_of_coded_texts_move_no_mask(spark):
     assert sorted(map(tuple, blocks.select(*shown).collect())) == sorted(map(tuple, want.select(*shown).collect()))
     plan = blocks._jdf.queryExecution().optimizedPlan().toString()
     # The mask is made from finished blocks and not moved with them.
-    assert "attention_mask" not in plan[plan.index("collect_list") :]
+    assert "attention_mask, attention_mask#" not in plan
 
 
-def test_words_are_coded_in_slices(monkeypatch):
-    monkeypatch.setattr(bpe, "SLICE_BYTES", 10)
+def test_words_are_coded_in_slices():
     lists = [["abc", "d"], None, [], ["x" * 50], ["e"] * 4, ["f"] * 8]
     column = pa.array(lists, pa.list_(pa.string()))
-    parts = [part.to_pylist() for part in bpe._slices(column)]
+    parts = [part.to_pylist() for part in word_slices(column, 10)]
     assert [row for part in parts for row in part] == lists
     assert all(len(part) == 1 or sum(len(w) for row in part for w in row or ()) <= 10 for part in parts)
+
+
+def test_word_stats_shuffle_no_words(spark, tmp_path):
+    rows = [(1, "a b a"), (2, "é cc"), (3, None), (4, "..."), (5, "x y"), (5, "y zz y"), (None, "q"), (None, "q r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in vocabulary.word_stats(df).collect()}
+    assert got == {1: (3, 2, 2, 6), 2: (2, 1, 2, 5), 5: (5, 2, 3, 11), None: (3, 1, 2, 4)}
+    plan = vocabulary.word_stats(df.where("doc_id < 5"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+
+
+def test_perplexity_moves_rare_words_only(spark, monkeypatch):
+    rows = [(1, "a b a"), (1, "c"), (2, "a"), (3, None), (4, ". ,"), (None, "b rare"), (6, "long" * 100 + " a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ways = []
+    for known in (200_000, 2, 0):
+        monkeypatch.setattr(text_metrics, "KNOWN_ROWS", known)
+        ways.append({r.doc_id: (r.n_words, round(r.perplexity, 9)) for r in text_metrics.unigram_perplexity(df).collect()})
+    counts, size = {"a": 4, "b": 2, "c": 1, "rare": 1, "long" * 100: 1}, 9 + 5
+    words = {1: "a b a c", 2: "a", None: "b rare", 6: "long" * 100 + " a"}
+    want = {}
+    for key, text in words.items():
+        losses = [-math.log((counts[w] + 1) / size) for w in text.split()]
+        want[key] = (len(losses), round(math.exp(sum(losses) / len(losses)), 9))
+    assert ways == [want] * 3
+    monkeypatch.setattr(text_metrics, "KNOWN_ROWS", 200_000)
+    plan = text_metrics.unigram_perplexity(df)._jdf.queryExecution().optimizedPlan().toString()
+    # Common words are counted in place: no row per document and word is grouped.
+    assert "explode" not in plan

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import words
 from ..session import cut_lineage
-from .lookup import lookup
-from .vocabulary import count_words, tokenize_words
+from .vocabulary import count_words, int32_offsets, word_slices
 
 
 def perplexity(df: DataFrame, loss: str, batch: str | None = None, mode: str = "macro") -> DataFrame:
@@ -27,23 +26,65 @@ def perplexity(df: DataFrame, loss: str, batch: str | None = None, mode: str = "
     return mean.select(F.lit(mode).alias("mode"), F.exp("_m").alias("perplexity"))
 
 
+#: The most frequent words, of at most so many bytes each, go to every task; less than 64 MB in all.
+KNOWN_ROWS, KNOWN_BYTES = 200_000, 256
+
+
 def unigram_perplexity(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document, under an add-one unigram model fitted on the whole corpus."""
+    """Per document, under an add-one unigram model fitted on the whole corpus.
+
+    The losses of the most frequent words are summed where the text is. Only the other words, none of
+    which is frequent unless it is long, are shuffled to find their counts.
+    """
     counts = cut_lineage(count_words(df, text), "counts")
     totals = counts.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v")).first()
     size = float((totals["n"] or 0) + totals["v"])
-    per_doc = (
-        tokenize_words(df, key, text).groupBy(key, "token").agg(F.count(F.lit(1)).alias("_tf"))
-    )
-    loss = -F.log((F.col("count") + 1) / F.lit(size))
+    short = counts.where(F.octet_length("token") <= KNOWN_BYTES)
+    top = short.orderBy(F.desc("count"), "token").limit(KNOWN_ROWS).toArrow()
+    losses = -np.log((top["count"].to_numpy() + 1) / size)
+    known = df.sparkSession.sparkContext.broadcast((top["token"].combine_chunks(), losses))
+
+    @F.arrow_udf("array<struct<token string, n bigint, loss double>>")
+    def counted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            for part in word_slices(column, SLICE_BYTES):
+                yield _known_and_rest(part, *known.value)
+
+    # An inner inline would also be turned into a filter on its size, which runs all of it twice.
+    rows = df.select(key, F.inline_outer(counted(words(text)))).where(F.col("n").isNotNull())
+    # Rows of known words find no count, and must not meet in one partition.
+    by = F.coalesce("token", F.concat(F.lit(" "), F.xxhash64(key).cast("string")))
+    found = rows.withColumn("_by", by).join(counts.select(F.col("token").alias("_by"), "count"), "_by", "left")
+    loss = F.coalesce(-F.log((F.col("count") + 1) / F.lit(size)), F.col("loss"))
     return (
-        lookup(per_doc, counts, "token", "count", staged=True)
-        .groupBy(key)
-        .agg(F.sum("_tf").alias("n_words"), F.sum(F.col("_tf") * loss).alias("_loss"))
+        found.groupBy(key)
+        .agg(F.sum("n").alias("n_words"), F.sum(loss).alias("_loss"))
         .select(key, "n_words", F.exp(F.col("_loss") / F.col("n_words")).alias("perplexity"))
     )
 
 
+def _known_and_rest(part: pa.Array, tokens: pa.Array, losses: np.ndarray) -> pa.Array:
+    """Of each row with words, one entry with number and loss of its known words, then an entry for each other word."""
+    flat, n_rows = part.flatten(), len(part)
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(part), 0))
+    row = np.repeat(np.arange(n_rows), sizes)
+    at = pc.index_in(flat, value_set=tokens)
+    there = np.asarray(at.is_valid())
+    kept = np.asarray(at.drop_null())
+    n = np.bincount(row[there], minlength=n_rows)
+    loss = np.bincount(row[there], losses[kept], n_rows)
+    rest = flat.filter(pa.array(~there))
+    some = sizes > 0
+    ends = np.concatenate([[0], np.cumsum(sizes - n + some, dtype=np.int64)])
+    first = np.zeros(ends[-1], dtype=bool)
+    first[ends[:-1][some]] = True
+    numbers, sums = np.ones(len(first), np.int64), np.zeros(len(first))
+    numbers[first], sums[first] = n[some], loss[some]
+    words_of = rest.take(pa.array(np.cumsum(~first) - 1, mask=first))
+    entries = pa.StructArray.from_arrays([words_of, pa.array(numbers), pa.array(sums)], ["token", "n", "loss"])
+    return pa.ListArray.from_arrays(pa.array(int32_offsets(ends)), entries)
+
+
 #: Text counted at once, at least one pair; the arrays of a pass take about thirty times as much.
 SLICE_BYTES = 4 << 20
 
