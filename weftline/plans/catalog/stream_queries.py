@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import ids as I
+from ...operators.packing import char_ids
 from ...session import scratch_path
 from ...streaming import encode_stream, log_windows, pack_stream, run_to_parquet, stream_tails
 from .registry import query, sql_bytes, sql_digest, table, utc
 
 STREAM_BLOCK = 1024
+#: Bytes of text in an arriving file, and files in a micro-batch, of which there are four at least.
+FILE_BYTES, BATCH_FILES = 64 << 20, 4
 
 
 def _stream(spark, sf_dir, name):
@@ -69,11 +72,14 @@ def stream_windows(spark, sf_dir):
 def stream_pack(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", I.byte_chars("text").alias("chars"))
     arriving, path = scratch_path(spark, "arriving"), scratch_path(spark, "stream-pack")
-    docs.repartition(4, "doc_id").write.parquet(arriving)
-    live = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    n_bytes = table(spark, sf_dir, "documents").agg(F.sum(I.byte_count("text"))).first()[0] or 0
+    n_files = max(4, -(-n_bytes // FILE_BYTES))
+    docs.repartition(n_files, "doc_id").write.parquet(arriving)
+    at_once = min(BATCH_FILES, n_files // 4)
+    live = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", at_once).parquet(arriving)
     packed = pack_stream(live, "source", STREAM_BLOCK, "chars", lane=F.col("doc_id") % 4)
     blocks = run_to_parquet(packed, "stream-pack", path).unionByName(stream_tails(spark, path, "source", "chars"))
-    blocks = blocks.withColumn("ids", I.ids_of_chars("chars"))
+    blocks = blocks.withColumn("ids", char_ids("chars"))
     size = F.size("ids")
     full = size == STREAM_BLOCK
     return blocks.groupBy("source", "lane").agg(
