@@ -1,13 +1,15 @@
 """Work that must follow the size of the tables: what a step computes, moves or holds at once."""
 
 import math
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from weftline.operators import bpe, features, text_metrics, vocabulary
+from weftline.functions.ids import EOS, byte_chars, ids_of_chars
+from weftline.operators import bpe, features, packing, text_metrics, vocabulary
 from weftline.operators.vocabulary import word_slices
-from weftline.plans.catalog import QUERIES
+from weftline.plans.catalog import QUERIES, stream_queries
 from weftline.plans.corpus import coded_blocks, encoded_blocks
 
 SMALL = "/root/testdata/sf0.001"
@@ -98,3 +100,37 @@ def test_perplexity_moves_rare_words_only(spark, monkeypatch):
     plan = text_metrics.unigram_perplexity(df)._jdf.queryExecution().optimizedPlan().toString()
     # Common words are counted in place: no row per document and word is grouped.
     assert "explode" not in plan
+
+
+def test_char_ids_come_in_slices():
+    texts = ["abĀ", None, "", "é" * 30, "c", "d\xff"]
+    parts = list(packing._ids_by_slice(pa.array(texts, pa.string()), 5))
+    got = [row for part in parts for row in part.to_pylist()]
+    assert got == [None if t is None else [EOS if c == "Ā" else ord(c) + 12 for c in t] for t in texts]
+    assert len(parts) > 2
+
+
+def test_char_ids_are_the_built_in_ones(spark):
+    df = spark.createDataFrame([("aé\n",), ("",), (None,), ("x" * 3000,)], "text string").withColumn("chars", byte_chars("text"))
+    both = df.select(packing.char_ids("chars").alias("a"), ids_of_chars("chars").alias("b")).collect()
+    assert len(both) == 4 and all(r.a == r.b for r in both)
+
+
+def test_stream_files_follow_the_size_of_the_texts(spark, monkeypatch):
+    shown = ("source", "lane", "n_blocks", "n_ids", "last_block", "n_tail", "sum_ids", "sum_squares")
+    want = sorted(map(tuple, QUERIES["stream_pack"](spark, SMALL).select(*shown).collect()))
+    written, inner = [], stream_queries.scratch_path
+
+    def noted(spark, name):
+        path = inner(spark, name)
+        written.append(path)
+        return path
+
+    monkeypatch.setattr(stream_queries, "scratch_path", noted)
+    monkeypatch.setattr(stream_queries, "FILE_BYTES", 50_000)
+    got = sorted(map(tuple, QUERIES["stream_pack"](spark, SMALL).select(*shown).collect()))
+    assert got == want
+    arriving = next(p for p in written if "arriving" in p)
+    n_bytes = spark.read.parquet(arriving).agg(F.sum(F.octet_length("chars"))).first()[0]
+    n_files = len(list(Path(arriving).glob("*.parquet")))
+    assert n_files > 4 and n_bytes / n_files < 2 * 50_000

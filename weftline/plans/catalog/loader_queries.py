@@ -139,7 +139,7 @@ def pack_by_source(spark, sf_dir):
         {"chars": I.byte_chars("text")},
         chars=True,
     )
-    blocks = blocks.withColumn("input_ids", I.ids_of_chars("chars"))
+    blocks = blocks.withColumn("input_ids", packing.char_ids("chars"))
     return blocks.select(
         "source", "block_no", F.size("input_ids").alias("n_ids"), I.checksum("input_ids").alias("digest")
     )
@@ -235,9 +235,10 @@ def tokenized_shards(spark, sf_dir):
     paths = []
     for some in (docs.where(early), docs.where(~early)):
         blocks = packing.pack_by_key(some, ["lang"], ["_chars"], BLOCK, ["doc_id"], byte_length(), build, chars=True)
-        blocks = blocks.select("lang", "block_no", I.ids_of_chars("_chars").alias("input_ids"))
+        full = blocks.where(F.char_length("_chars") == BLOCK)
+        full = full.select("lang", "block_no", packing.char_ids("_chars").alias("input_ids"))
         paths.append(scratch_path(spark, "blocks"))
-        write_table(blocks.where(F.size("input_ids") == BLOCK), paths[-1], "block_no", keys_per_file=4096)
+        write_table(full, paths[-1], "block_no", keys_per_file=4096)
     return (
         union_tables(spark, paths, verify=True)
         .groupBy("lang")
